@@ -4,13 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kenmark.llm.cells import known_snapshots
+from kenmark.llm.eliteness import shared_rare_terms
 from kenmark.llm.groups import device_groups
 from kenmark.llm.leaks import leaked_spans
 from kenmark.llm.lookalikes import same_reading_pairs
+from kenmark.llm.packing import packed_documents
 from kenmark.llm.setjoin import similar_records
 from kenmark.plans.queries import Query, table
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return shared_rare_terms(table(spark, folder, "profiles")).select("profile_id", "field", "term")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return known_snapshots(table(spark, folder, "snapshots"), table(spark, folder, "incoming"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return similar_records(table(spark, folder, "signal_sets"), table(spark, folder, "known_sets"))
 
@@ -19,6 +30,10 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return device_groups(table(spark, folder, "edges"))
 
 
+def p8_packed(spark: SparkSession, folder: str) -> DataFrame:
+    return packed_documents(table(spark, folder, "documents"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     spans = leaked_spans(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text")
     return spans.select("doc_id", "item_id").distinct()
@@ -29,7 +44,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p6_found": p6_found, "p7_found": p7_found, "p9_found": p9_found, "p10_found": p10_found}
+    return {"p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p7_found": p7_found, "p8_packed": p8_packed, "p9_found": p9_found, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from kenmark.functions.minhash import band_table, tokens
 from kenmark.functions.registry import ScoringOptions
 from kenmark.operators.scoring import features, score_pairs
+from kenmark.plans.scratch import materialise
 
 HARDWARE_KEYS = ["deviceMemory", "hardwareConcurrency", "platform"]
 STRONG_KEYS = ["canvas", "webgl"]
@@ -111,10 +112,15 @@ def candidates(queries: DataFrame, store: DataFrame, strategy: str = "any_key",
     options = options or ScoringOptions()
     q = features(queries, "q", options, "_q")
     h = features(store, "h", options, "_h")
-    pairs = score_pairs(block(q, h, strategy), "q", "h", options, ("_q", "_h"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("composite"), "device_id")
-    kept = pairs.where(F.col("composite") >= least).select("query_id", "device_id", F.col("composite").alias("confidence"), F.col("ts").alias("last_seen"))
-    return kept.withColumn("place", F.row_number().over(best)).where(F.col("place") <= limit)
+    # Pairs are written before they are scored. The scoring plan is then one projection over a
+    # scan; above joins and filters the optimizer's constraint propagation takes minutes on it.
+    met = materialise(block(q, h, strategy), "pairs")
+    pairs = score_pairs(met, "q", "h", options, ("_q", "_h"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("confidence"), "device_id")
+    rated = pairs.select("query_id", "device_id", F.col("composite").alias("confidence"), F.col("ts").alias("last_seen"))
+    # The score is filtered after the ranking: before it, the optimizer would push the filter
+    # below the projections and repeat the whole scoring expression in it.
+    return rated.withColumn("place", F.row_number().over(best)).where((F.col("place") <= limit) & (F.col("confidence") >= least))
 
 
 def with_extra(found: DataFrame, extra: DataFrame) -> DataFrame:

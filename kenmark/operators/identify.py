@@ -19,6 +19,7 @@ from kenmark.operators.blocking import candidates, shared_bands, with_extra
 from kenmark.operators.drift import field_stability, stability_map
 from kenmark.operators.scoring import score_pairs
 from kenmark.operators.store import latest
+from kenmark.plans.scratch import materialise
 
 
 @dataclass(frozen=True)
@@ -58,7 +59,7 @@ def identify(incoming: DataFrame, snapshots: DataFrame, options: IdentifyOptions
     stabilities = stability_map(field_stability(snapshots, options.stability_window))
     pairs = found.select("query_id", "device_id", F.col("confidence").alias("first_confidence")).join(queries, "query_id").join(store, "device_id").join(stabilities, "device_id", "left")
     scoring = replace(options.scoring, age=age_ms(F.col("query_ts"), F.col("ts")), field_stabilities=F.col("stabilities"))
-    rescored = score_pairs(pairs, "q", "h", scoring)
+    rescored = score_pairs(materialise(pairs, "pairs"), "q", "h", scoring)
     order = Window.partitionBy("query_id").orderBy(F.desc("composite"), F.desc("first_confidence"), "device_id")
     best = rescored.withColumn("_n", F.row_number().over(order)).withColumn("candidates", F.count(F.lit(1)).over(Window.partitionBy("query_id"))).where("_n = 1")
     best = best.select("query_id", F.col("device_id").alias("_found"), "composite", "candidates")

@@ -39,17 +39,19 @@ def canonical_fingerprint(fp: Column) -> Column:
 
 
 def features(df: DataFrame, struct: str = "fingerprint", options: ScoringOptions | None = None, prefix: str = "") -> DataFrame:
-    """Adds ``_present``, ``_canonical``, ``_risk`` and, if TLSH counts, ``_digest`` of a fingerprint column."""
+    """Adds ``_present``, ``_canonical`` (an MD5 of the canonical text), ``_risk`` and, if TLSH counts, ``_digest``."""
     options = options or ScoringOptions()
     fp = F.col(struct)
     model = options.attractor_model or attractor_risk
     columns = {
         f"{prefix}_present": F.array(*(present(fp[f], FINGERPRINT[f].dataType) for f in FIELDS)),
-        f"{prefix}_canonical": canonical_fingerprint(fp),
+        f"{prefix}_canonical": canonical_fingerprint(fp) if options.tlsh_weight > 0 else F.md5(canonical_fingerprint(fp)),
         f"{prefix}_risk": F.greatest(F.lit(0), F.least(F.lit(100), model(fp))),
     }
     out = df.withColumns(columns)
-    return out.withColumn(f"{prefix}_digest", digest_udf(f"{prefix}_canonical")) if options.tlsh_weight > 0 else out
+    if options.tlsh_weight > 0:
+        out = out.withColumn(f"{prefix}_digest", digest_udf(f"{prefix}_canonical")).withColumn(f"{prefix}_canonical", F.md5(f"{prefix}_canonical"))
+    return out
 
 
 def _leaves(a: Column, b: Column, kind: T.DataType, path: str, depth: int, options: ScoringOptions, scale) -> list[tuple[Column, Column]]:

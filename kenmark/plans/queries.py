@@ -291,7 +291,7 @@ def _drift_sql() -> str:
     return (
         f"WITH {sql.stability(10, True)}, {_ONCE}, "
         "met AS MATERIALIZED (SELECT a.device_id, a.snapshot_id, a.fingerprint AS q, b.fingerprint AS h, b.ts FROM arrived a JOIN hist b ON a.device_id = b.device_id), "
-        f"per AS MATERIALIZED (SELECT device_id, snapshot_id, {deviations}, min({sql.risk('q')}) AS risk, count(*)::INT AS snapshots_analyzed, max(epoch_ms(ts)) - min(epoch_ms(ts)) AS baseline_window_ms FROM met GROUP BY device_id, snapshot_id), "
+        f"per AS MATERIALIZED (SELECT device_id, snapshot_id, {deviations}, min({sql.risk('q')}) AS risk, count(*)::INT AS snapshots_analyzed, max(epoch_us(ts) // 1000) - min(epoch_us(ts) // 1000) AS baseline_window_ms FROM met GROUP BY device_id, snapshot_id), "
         f"long AS MATERIALIZED (SELECT p.device_id, p.snapshot_id, unnest([{entries}]) AS e FROM per p LEFT JOIN stable s ON p.device_id = s.device_id), "
         "zs AS MATERIALIZED (SELECT device_id, snapshot_id, e.field AS field, e.place AS place, e.weight AS weight, e.stab AS stab, e.dev AS dev, e.dev / (1 - e.stab + 0.05::DOUBLE) AS z FROM long WHERE e.dev IS NOT NULL), "
         "sums AS (SELECT device_id, snapshot_id, sum(least(z, 5::DOUBLE) * weight ORDER BY place) AS zs, sum(weight * 5) AS most, count(*) FILTER (WHERE z >= 1.5::DOUBLE) AS n FROM zs GROUP BY ALL), "
@@ -383,7 +383,7 @@ def _identify_sql() -> str:
     stability = sql.stability(5, False).replace("once AS", "once5 AS").replace("FROM once)", "FROM once5)").replace("hist AS", "hist5 AS").replace("hist a JOIN hist b", "hist5 a JOIN hist5 b").replace("pairs AS", "pairs5 AS").replace("FROM pairs ", "FROM pairs5 ")
     mapped = f"stabs AS MATERIALIZED (SELECT device_id, MAP {{{', '.join(f"'{f}': \"{f}\"" for f in FIELDS)}}} AS m FROM stable)"
     kept = "again AS MATERIALIZED (SELECT r.query_id, r.device_id, r.composite AS first_confidence, a.query_ts, a.q, h.ts, h.h, a.l_can, a.l_risk, h.r_can, h.r_risk, s.m FROM ranked r JOIN asked2 a USING (query_id) JOIN held2 h USING (device_id) LEFT JOIN stabs s USING (device_id) WHERE r.place <= 100)"
-    scores = sql.scores("again", "q", "h", sql.decay("(epoch_ms(query_ts) - epoch_ms(ts))"), "m", True)
+    scores = sql.scores("again", "q", "h", sql.decay("(epoch_us(query_ts) // 1000 - epoch_us(ts) // 1000)"), "m", True)
     for name in ("f1", "f2", "f3"):
         scores = scores.replace(f"{name} AS MAT", f"g{name} AS MAT").replace(f"FROM {name})", f"FROM g{name})")
     scores = scores.replace("scored AS MAT", "rescored AS MAT")
@@ -426,7 +426,8 @@ def dedup_window(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "subnet_edges",
-    "WITH seen AS (SELECT regexp_extract(ip, '^(\\d+\\.\\d+\\.\\d+)\\.\\d+$', 1) AS net, device_id, min(ts) AS seen_at FROM snapshots WHERE device_id IS NOT NULL AND ip IS NOT NULL GROUP BY ALL HAVING net <> ''), "
+    "WITH nets AS (SELECT regexp_extract(ip, '^(\\d+\\.\\d+\\.\\d+)\\.\\d+$', 1) AS net, device_id, ts FROM snapshots WHERE device_id IS NOT NULL AND ip IS NOT NULL), "
+    "seen AS (SELECT net, device_id, min(ts) AS seen_at FROM nets WHERE net <> '' GROUP BY net, device_id), "
     "numbered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY net ORDER BY seen_at, device_id) AS n FROM seen), "
     "met AS (SELECT least(a.device_id, b.device_id) AS device_id_a, greatest(a.device_id, b.device_id) AS device_id_b, a.seen_at FROM numbered a JOIN numbered b ON a.net = b.net AND b.n BETWEEN a.n - 200 AND a.n - 1) "
     "SELECT device_id_a, device_id_b, round(least(0.97::DOUBLE, 0.4::DOUBLE + 0.2::DOUBLE * (count(*) - 1)), 9) AS weight, min(seen_at) AS first_seen, max(seen_at) AS last_seen, count(*)::INT AS occurrences FROM met GROUP BY ALL",
@@ -481,7 +482,7 @@ def edge_lookup(spark: SparkSession, folder: str) -> DataFrame:
     return folded_edges(spark, folder).where(touching).select("device_id_a", "device_id_b", F.round("weight", 9).alias("weight"))
 
 
-@query("edge_prune", _FOLDED + f"SELECT device_id_a, device_id_b, last_seen FROM folded2 WHERE epoch_ms(last_seen) + {EDGE_AGE_MS} > epoch_ms(TIMESTAMPTZ '{NOW}+00')")
+@query("edge_prune", _FOLDED + f"SELECT device_id_a, device_id_b, last_seen FROM folded2 WHERE epoch_us(last_seen) // 1000 + {EDGE_AGE_MS} > epoch_us(TIMESTAMPTZ '{NOW}+00') // 1000")
 def edge_prune(spark: SparkSession, folder: str) -> DataFrame:
     kept = graph.prune(folded_edges(spark, folder), F.lit(NOW).cast("timestamp"), EDGE_AGE_MS)
     return kept.select("device_id_a", "device_id_b", "last_seen")

@@ -229,7 +229,7 @@ def consecutive(n: int = 5) -> str:
     )
 
 
-AGE = "(epoch_ms(ts) - epoch_ms(older_ts))"
+AGE = "(epoch_us(ts) // 1000 - epoch_us(older_ts) // 1000)"
 
 
 def decay(age: str) -> str:

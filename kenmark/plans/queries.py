@@ -440,8 +440,8 @@ def subnet_edges(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "font_overlap_edges",
     _identify_sql()
-    + f", met AS (SELECT i.device_id AS a, r.device_id AS b, {sql.jaccard('q.fonts', 'h.fonts')} AS j FROM identified i JOIN ranked r USING (query_id) WHERE r.place <= 100 AND len(q.fonts) > 0 AND r.device_id <> i.device_id) "
-    "SELECT a, b, round(j * 0.3::DOUBLE, 9) AS weight FROM met WHERE j >= 0.8::DOUBLE",
+    + f", fonted AS (SELECT i.device_id AS a, r.device_id AS b, {sql.jaccard('q.fonts', 'h.fonts')} AS j FROM identified i JOIN ranked r USING (query_id) WHERE r.place <= 100 AND len(q.fonts) > 0 AND r.device_id <> i.device_id) "
+    "SELECT a, b, round(j * 0.3::DOUBLE, 9) AS weight FROM fonted WHERE j >= 0.8::DOUBLE",
 )
 def font_overlap_edges(spark: SparkSession, folder: str) -> DataFrame:
     asked, held = identification.queries_of(search_set(spark, folder)), identification.store_of(table(spark, folder, "snapshots"))

@@ -10,7 +10,7 @@ from kenmark.llm.groups import device_groups
 from kenmark.llm.leaks import leaked_spans
 from kenmark.llm.lookalikes import same_reading_pairs
 from kenmark.llm.packing import packed_documents
-from kenmark.llm.setjoin import similar_records
+from kenmark.llm.setjoin import LEAST_ELEMENTS, linked_records, set_records, similar_records
 from kenmark.plans.queries import Query, table
 
 
@@ -26,6 +26,12 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return similar_records(table(spark, folder, "signal_sets"), table(spark, folder, "known_sets"))
 
 
+def p6_linked(spark: SparkSession, folder: str) -> DataFrame:
+    """Every record that counts with its class and the number of records it links to."""
+    records = set_records(table(spark, folder, "signal_sets"), table(spark, folder, "known_sets"))
+    return linked_records(records, "id", "elements", 0.8, LEAST_ELEMENTS, "known")
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return device_groups(table(spark, folder, "edges"))
 
@@ -44,7 +50,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p7_found": p7_found, "p8_packed": p8_packed, "p9_found": p9_found, "p10_found": p10_found}
+    return {"p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p6_linked": p6_linked, "p7_found": p7_found, "p8_packed": p8_packed, "p9_found": p9_found, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:

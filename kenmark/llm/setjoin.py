@@ -23,13 +23,12 @@ def _ceil(x: Column) -> Column:
     return F.ceil(x - F.lit(_SLACK)).cast("int")
 
 
-def set_classes(records: DataFrame, key: str, elements: str, least_size: int) -> DataFrame:
-    """(class, key, elements): every record with the class of its set, named by the smallest key."""
-    sized = records.select(F.col(key).alias("key"), F.array_sort(F.array_distinct(F.array_compact(elements))).alias("elements")).where((F.size("elements") >= least_size) & F.col("key").isNotNull())
-    # One row per distinct key and set; the hash only routes rows, sets are compared as a whole.
-    named = sized.groupBy("elements").agg(F.min("key").alias("class"))
-    hashed = lambda d: d.withColumn("h", F.xxhash64("elements"))
-    return hashed(sized).join(hashed(named), ["h", "elements"]).select("class", "key", "elements")
+def with_classes(records: DataFrame, key: str, elements: str, least_size: int, among: str | None = None) -> DataFrame:
+    """(class, key, elements, among): the records that count, each with the class of its set, a 128-bit digest."""
+    own = F.array_sort(F.array_distinct(F.array_compact(elements)))
+    aside = F.coalesce(F.col(among), F.lit(False)) if among else F.lit(False)
+    sized = records.select(F.col(key).alias("key"), own.alias("elements"), aside.alias("among")).where((F.size("elements") >= least_size) & F.col("key").isNotNull())
+    return sized.select(F.unhex(F.md5(F.to_json("elements"))).alias("class"), "key", "elements", "among")
 
 
 def similar_classes(classes: DataFrame, threshold: float) -> DataFrame:
@@ -61,8 +60,9 @@ def similar_classes(classes: DataFrame, threshold: float) -> DataFrame:
     possible = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))
     met = a.join(b, "token").where(shorter & long_enough & (possible >= needed))
     common = F.array_intersect("tokens_a", "tokens_b")
-    verified = met.withColumn("common", common).where((F.size("common") >= needed) & (F.array_min("common") == F.col("token")))
-    return verified.select("class_a", "class_b", F.size("common").alias("overlap"), "size_a", "size_b")
+    # In one lambda, so that the intersection is evaluated once per candidate.
+    verified = met.where(F.exists(F.array(common), lambda c: (F.size(c) >= needed) & (F.array_min(c) == F.col("token"))))
+    return verified.select("class_a", "class_b", F.size(common).alias("overlap"), "size_a", "size_b")
 
 
 def similar_pairs(records: DataFrame, key: str, elements: str, threshold: float = 0.8, least_size: int = 1, among: str | None = None) -> DataFrame:
@@ -72,15 +72,31 @@ def similar_pairs(records: DataFrame, key: str, elements: str, threshold: float
     ``least_size`` elements or a null key don't count, repeated rows count once. ``among``
     names a boolean column of rows that aren't paired with each other.
     """
-    members = materialise(set_classes(records, key, elements, least_size).distinct(), "members")
-    kinds = records.select(F.col(key).alias("key"), F.coalesce(F.col(among), F.lit(False)).alias("among") if among else F.lit(False).alias("among")).distinct()
-    members_of = members.select("class", "key").join(kinds, "key") if among else members.select("class", "key", F.lit(False).alias("among"))
-    links = similar_classes(members.select("class", "elements").distinct(), threshold).select("class_a", "class_b")
+    held = materialise(with_classes(records, key, elements, least_size, among), "classed")
+    members = held.select("class", "key", "among").distinct()
+    links = similar_classes(held.groupBy("class").agg(F.any_value("elements").alias("elements")), threshold).select("class_a", "class_b")
     same = members.groupBy("class").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("class").alias("class_a"), F.col("class").alias("class_b"))
-    side = lambda s: members_of.select(F.col("class").alias(f"class_{s}"), F.col("key").alias(f"key_{s}"), F.col("among").alias(f"among_{s}"))
+    side = lambda s: members.select(F.col("class").alias(f"class_{s}"), F.col("key").alias(f"key_{s}"), F.col("among").alias(f"among_{s}"))
     pairs = links.unionByName(same).join(side("a"), "class_a").join(side("b"), "class_b").where("not (among_a and among_b)")
-    pairs = pairs.where((F.col("class_a") != F.col("class_b")) | (F.col("key_a") < F.col("key_b")))
-    return pairs.select(F.least("key_a", "key_b").alias("id_a"), F.greatest("key_a", "key_b").alias("id_b"))
+    pairs = pairs.where((F.col("key_a") < F.col("key_b")) | (F.col("class_a") != F.col("class_b")) & (F.col("key_a") != F.col("key_b")))
+    return pairs.select(F.least("key_a", "key_b").alias("id_a"), F.greatest("key_a", "key_b").alias("id_b")).distinct()
+
+
+def linked_records(records: DataFrame, key: str, elements: str, threshold: float = 0.8, least_size: int = 1, among: str | None = None) -> DataFrame:
+    """(key, class, n_links): the compact form, in which copies aren't expanded into pairs.
+
+    A record links to the other records of its class and to all of the similar classes;
+    rows that ``among`` marks link to unmarked ones only.
+    """
+    held = materialise(with_classes(records, key, elements, least_size, among), "classed")
+    members = held.select("class", "key", "among").distinct()
+    links = similar_classes(held.groupBy("class").agg(F.any_value("elements").alias("elements")), threshold).select("class_a", "class_b")
+    sizes = materialise(members.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("among")).alias("free")), "sizes")
+    both = links.unionByName(links.select(F.col("class_a").alias("class_b"), F.col("class_b").alias("class_a")))
+    near = both.join(sizes.select(F.col("class").alias("class_b"), "n", "free"), "class_b").groupBy(F.col("class_a").alias("class")).agg(F.sum("n").alias("near"), F.sum("free").alias("near_free"))
+    totals = sizes.join(near, "class", "left").na.fill(0, ["near", "near_free"])
+    linked = F.when(F.col("among"), F.col("near_free") + F.col("free")).otherwise(F.col("near") + F.col("n") - 1)
+    return members.join(totals, "class").select(F.col("key").alias(key), F.hex("class").alias("class"), linked.alias("n_links"))
 
 
 #: Lists of a record whose elements form its set, kept apart by list.

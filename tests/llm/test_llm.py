@@ -15,7 +15,7 @@ from kenmark.llm.groups import components
 from kenmark.llm.lookalikes import Canon, Trie, by_table, same_reading_pairs
 from kenmark.llm.packing import fill_window, pack, packed
 from kenmark.llm.queries import queries
-from kenmark.llm.setjoin import similar_pairs
+from kenmark.llm.setjoin import linked_records, similar_pairs
 
 # Consolidating matches into groups.
 
@@ -65,6 +65,9 @@ def test_similar_pairs_against_brute_force(spark):
     sets = {i: (set(x), k) for i, x, k in rows if i is not None and x and len(set(x) - {None}) >= 5}
     expected = {(a, b) for a in sets for b in sets if a < b and not (sets[a][1] and sets[b][1]) and len(sets[a][0] & sets[b][0]) * 5 >= len(sets[a][0] | sets[b][0]) * 4}
     assert set(got) == expected and len(got) == len(expected)
+    linked = {r.id: r.n_links for r in linked_records(df, "id", "items", 0.8, 5, "known").collect()}
+    degree = Counter(x for pair in expected for x in pair)
+    assert linked == {i: degree[i] for i in sets}
     assert similar_pairs(df.limit(0), "id", "items").count() == 0
 
 

@@ -154,8 +154,8 @@ def score_pairs(df: DataFrame, left: str, right: str, options: ScoringOptions |
     structural = _ratio([x for f in FIELDS for x in _leaves(l[f], r[f], FINGERPRINT[f].dataType, f, 1, options, scaled)], F.lit(0.0))
     df = df.withColumn("_structural", structural)
     if use_tlsh:
-        distance = distance_udf(f"{prefixes[0]}_digest", f"{prefixes[1]}_digest")
-        df = df.withColumn("_fuzzy", F.greatest(F.lit(0.0), (MAX_DISTANCE - distance) / MAX_DISTANCE))
+        df = df.withColumn("_distance", distance_udf(f"{prefixes[0]}_digest", f"{prefixes[1]}_digest"))
+        df = df.withColumn("_fuzzy", F.when(F.col("_distance").isNotNull(), F.greatest(F.lit(0.0), (MAX_DISTANCE - F.col("_distance")) / MAX_DISTANCE)))
     else:
         df = df.withColumn("_fuzzy", F.lit(1.0))
 

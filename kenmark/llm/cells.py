@@ -68,32 +68,35 @@ class CellIndex:
     def build(cls, history: DataFrame, hash_column: str, vector: list[Column], limit: int = 3) -> CellIndex:
         """Index of the distinct vectors and content hashes of ``history``."""
         spark, width = history.sparkSession, len(vector)
-        rows = materialise(history.select(F.col(hash_column).alias("own_hash"), F.lit(0).alias("batch"), *vector), "history")
         names = [f"f{i}" for i in range(width)]
-        index = cls(spark, deal_fields(rows, width, limit), width, limit, {})
-        entries = index.entries(rows, batched=False)
+        first = F.lit(0).alias("batch")
+        vectors = materialise(history.select(*vector).distinct().select(*names, first), "vectors")
+        hashes = history.select(F.col(hash_column).alias("own_hash")).where("own_hash is not null").distinct().select("own_hash", first)
+        index = cls(spark, deal_fields(vectors, width, limit), width, limit, {})
+        entries = index.spread(vectors, hashes)
         top = entries.select("cell").agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(cell, {MOST_HEAVY}, {SKETCH_ITEMS})").alias("top")).first()
         share = max(50_000, (top["n"] or 0) // 1024)
         index.hot = {x["item"]: min(256, -(-x["count"] // share)) for x in top["top"] or [] if x["count"] > 2 * share}
         buckets = max(1, min(4096, -(-(top["n"] or 0) // ROWS_PER_BUCKET) * 2), spark.sparkContext.defaultParallelism)
         name = f"cells_{uuid.uuid4().hex}"
-        placed = index.split(index.entries(rows, batched=False), every=False).repartition(buckets, "cell")
+        placed = index.split(entries, every=False).repartition(buckets, "cell")
         placed.write.bucketBy(buckets, "cell").sortBy("cell").option("path", new_path(spark, "cells")).format("parquet").saveAsTable(name)
         index.parts.append(spark.table(name))
-        index.names = names
         return index
 
-    def entries(self, rows: DataFrame, batched: bool = True) -> DataFrame:
-        """(cell, space, own_hash, batch, f0 and on): one row per vector and subspace, one per content hash.
+    def entries(self, rows: DataFrame) -> DataFrame:
+        """The entries of rows with own_hash, batch, f0 and on.
 
         Of equal vectors, or hashes, the earliest batch is kept: what it can't match no later one can.
         """
-        names = [f"f{i}" for i in range(self.width)]
         keep = F.min("batch").alias("batch")
-        vectors = rows.groupBy(*names).agg(keep)
+        return self.spread(rows.groupBy(*(f"f{i}" for i in range(self.width))).agg(keep), rows.where(F.col("own_hash").isNotNull()).groupBy("own_hash").agg(keep))
+
+    def spread(self, vectors: DataFrame, hashes: DataFrame) -> DataFrame:
+        """(cell, space, own_hash, batch, f0 and on): one row per vector and subspace, one per content hash."""
+        names = [f"f{i}" for i in range(self.width)]
         cells = F.array(*(F.struct(F.lit(s).alias("space"), F.xxhash64(F.lit(s), *(F.col(f"f{i}") for i in own)).alias("cell")) for s, own in enumerate(self.spaces)))
         spread = vectors.select(F.explode(cells).alias("_c"), F.lit(None).cast("string").alias("own_hash"), "batch", *names).select("_c.cell", "_c.space", "own_hash", "batch", *names)
-        hashes = rows.where(F.col("own_hash").isNotNull()).groupBy("own_hash").agg(keep)
         last = len(self.spaces)
         own = hashes.select(F.xxhash64(F.lit(last), "own_hash").alias("cell"), F.lit(last).alias("space"), "own_hash", "batch", *(F.lit(None).cast("long").alias(n) for n in names))
         return spread.unionByName(own)

@@ -59,9 +59,10 @@ def similar_classes(classes: DataFrame, threshold: float) -> DataFrame:
     needed = _ceil(F.lit(threshold / (1 + threshold)) * (F.col("size_a") + F.col("size_b")))
     possible = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))
     met = a.join(b, "token").where(shorter & long_enough & (possible >= needed))
+    # The rarest shared element is the one before which the two share none.
+    rarest = met.where(~F.arrays_overlap(F.slice("tokens_a", 1, F.col("pos_a")), F.slice("tokens_b", 1, F.col("pos_b"))))
     common = F.array_intersect("tokens_a", "tokens_b")
-    # In one lambda, so that the intersection is evaluated once per candidate.
-    verified = met.where(F.exists(F.array(common), lambda c: (F.size(c) >= needed) & (F.array_min(c) == F.col("token"))))
+    verified = rarest.where(F.size(common) >= needed)
     return verified.select("class_a", "class_b", F.size(common).alias("overlap"), "size_a", "size_b")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kenmark.functions import similarity as sim
+from kenmark.functions.generate import scenario_pairs
 from kenmark.functions.minhash import band_table, tokens
 from kenmark.functions.registry import ScoringOptions
 from kenmark.functions.text import normalised
@@ -533,6 +534,22 @@ def scenario_summary(spark: SparkSession, folder: str) -> DataFrame:
     return evaluate.summary(labelled_pairs(spark, folder), "scenario", F.col("score")).withColumn("avg_score", F.round("avg_score", 6))
 
 
+def synthetic_pairs(spark: SparkSession, options: ScoringOptions = PLAIN) -> DataFrame:
+    """The generated scenarios with their scores."""
+    made = scenario_pairs(spark)
+    return score_pairs(made, "f", "g", options).select("scenario", "seed", "same_device", "is_attractor", F.col("composite").alias("score"))
+
+
+@query("scenario_matrix")
+def scenario_matrix(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluate.summary(synthetic_pairs(spark, ScoringOptions()), "scenario", F.col("score"))
+
+
+@query("scenario_sweep")
+def scenario_sweep(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluate.threshold_sweep(synthetic_pairs(spark, ScoringOptions()))
+
+
 # Fuzzy digests.
 
 

@@ -22,8 +22,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from kenmark.functions.text import canonical_text, number_text
+from kenmark.functions.text import canonical_text, normalised, number_text
 from kenmark.operators.heavy import MOST_HEAVY, SKETCH_ITEMS
 from kenmark.plans.scratch import materialise, new_path
 
@@ -33,12 +34,22 @@ ROWS_PER_BUCKET = 1_000_000
 
 
 def field_hashes(df: DataFrame, struct: str = "fingerprint") -> list[Column]:
-    """One hash per field, f0 and on; null, and a null struct's fields, give 0."""
+    """One hash per field, f0 and on; a null, and each field of a null struct, gives the hash's seed.
+
+    Lists of text are hashed element by element together with their length, so that an
+    empty list isn't null and a null element isn't missing.
+    """
     out = []
     for i, f in enumerate(x for x in df.schema[struct].dataType.fields if x.name != VOLATILE):
         value = F.col(struct)[f.name]
-        text = number_text(value) if f.name == NUMBER_TEXT else canonical_text(value, f.dataType)
-        out.append(F.when(text.isNull(), F.lit(0)).otherwise(F.xxhash64(text)).alias(f"f{i}"))
+        if f.name == NUMBER_TEXT:
+            hashed = F.xxhash64(number_text(value))
+        elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StringType):
+            entries = F.array_sort(F.array_distinct(F.transform(value, lambda x: F.coalesce(normalised(x), F.lit("\0")))))
+            hashed = F.xxhash64(entries, F.size(entries))
+        else:
+            hashed = F.xxhash64(canonical_text(value, f.dataType))
+        out.append(hashed.alias(f"f{i}"))
     return out
 
 

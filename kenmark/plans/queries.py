@@ -20,7 +20,7 @@ from kenmark.operators import identify as identification
 from kenmark.operators import store as stores
 from kenmark.operators.attractor import attractor_risk, frequency_model
 from kenmark.operators.heavy import latest_snapshots
-from kenmark.operators.history import fingerprint_history
+from kenmark.operators.history import FOLLOWED_TEXT, fingerprint_history
 from kenmark.operators.nested import payload_children
 from kenmark.operators.scoring import canonical_fingerprint, dimension_weights, richness, score_pairs
 from kenmark.plans import sql
@@ -85,7 +85,20 @@ _SCORES = ", ".join(f'"{s}"' for s in SCORES)
 # Problems of TESTDATA.md.
 
 
-@query("p1_found")
+def _versions_sql() -> str:
+    text = lambda f: f"nullif(lower({sql.strip(f'fingerprint.{f}')}), '')"
+    values = {f: text(f) for f in FOLLOWED_TEXT}
+    values |= {"cores": "fingerprint.hardwareConcurrency", "memory": f"TRY_CAST({sql.strip('fingerprint.deviceMemory')} AS DOUBLE)", "width": "fingerprint.screen.width", "height": "fingerprint.screen.height"}
+    values["fonts"] = f"nullif(list_sort(list_distinct(list_filter(list_transform(fingerprint.fonts, lambda x: lower({sql.strip('x')})), lambda x: x <> ''))), [])"
+    before = ", ".join(f"lag({v} IGNORE NULLS) OVER w AS p{i}" for i, v in enumerate(values))
+    differs = " OR ".join(f"coalesce({v} <> p{i}, false)" for i, v in enumerate(values))
+    return (
+        "WITH seen AS (SELECT device_id, snapshot_id, ts, " + ", ".join(f"any_value({x}) AS {v}" for v, x in values.items()) + " FROM snapshots WHERE device_id IS NOT NULL GROUP BY device_id, snapshot_id, ts), "
+        f"led AS (SELECT *, row_number() OVER w AS k, {before} FROM seen WINDOW w AS (PARTITION BY device_id ORDER BY ts, snapshot_id)) SELECT device_id, snapshot_id FROM led WHERE k = 1 OR {differs}"
+    )
+
+
+@query("p1_found", _versions_sql())
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint_history(table(spark, folder, "snapshots")).select("device_id", "snapshot_id")
 

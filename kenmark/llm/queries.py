@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kenmark.functions.text import WHITE_SPACE
 from kenmark.llm.cells import known_snapshots
 from kenmark.llm.eliteness import shared_rare_terms
 from kenmark.llm.groups import device_groups
@@ -53,5 +54,25 @@ def queries() -> dict[str, Query]:
     return {"p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p6_linked": p6_linked, "p7_found": p7_found, "p8_packed": p8_packed, "p9_found": p9_found, "p10_found": p10_found}
 
 
+_STRIP = f"trim(x, '{WHITE_SPACE}')"
+
+P2_SQL = f"""
+WITH terms AS (
+  SELECT profile_id, device_label, 'fonts' AS field, unnest(list_transform(fingerprint.fonts, lambda x: lower({_STRIP}))) AS term FROM profiles
+  UNION ALL SELECT profile_id, device_label, 'platform', lower(trim(fingerprint.platform, '{WHITE_SPACE}')) FROM profiles
+  UNION ALL SELECT profile_id, device_label, 'userAgent', unnest(regexp_split_to_array(lower(trim(fingerprint.userAgent, '{WHITE_SPACE}')), '\\s+')) FROM profiles
+), few AS (SELECT field, term FROM terms WHERE term <> '' GROUP BY ALL HAVING count(DISTINCT device_label) BETWEEN 2 AND 6)
+SELECT DISTINCT profile_id, field, term FROM terms JOIN few USING (field, term)
+"""
+
+P9_SQL = """
+WITH words AS (
+  SELECT 'd' AS kind, doc_id AS id, list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda x: lower(x)) AS w FROM documents
+  UNION ALL SELECT 'i', item_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda x: lower(x)) FROM eval_items
+), grams AS (SELECT DISTINCT kind, id, md5(array_to_string(w[i:i + 11], ' ')) AS g FROM (SELECT kind, id, w, unnest(range(1, len(w) - 10)) AS i FROM words))
+SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM grams d JOIN grams i ON d.g = i.g WHERE d.kind = 'd' AND i.kind = 'i'
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p2_found": P2_SQL, "p9_found": P9_SQL}

@@ -2,9 +2,9 @@
 
 Records with the same set form one class, and classes are joined. Elements are ordered by
 rarity over all classes. Two sets of Jaccard similarity t or more share an element within
-the prefixes that t determines; only prefixes are joined. Length and positional filters
-cut candidates, and the exact overlap decides. A pair that meets on several elements is
-verified on the rarest one only. Nothing is capped.
+the prefixes that t determines; only prefixes are joined, on their rare elements and on
+pairs of their frequent ones. The length filter cuts candidates, each of which is verified
+once, by its exact overlap. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -18,6 +18,9 @@ from kenmark.plans.scratch import materialise
 
 _SLACK = 1e-9
 
+#: An element of at most so many distinct sets is a key of its own; others are keys in pairs.
+RARE = 40
+
 
 def _ceil(x: Column) -> Column:
     return F.ceil(x - F.lit(_SLACK)).cast("int")
@@ -31,39 +34,50 @@ def with_classes(records: DataFrame, key: str, elements: str, least_size: int, a
     return sized.select(F.unhex(F.md5(F.to_json("elements"))).alias("class"), "key", "elements", "among")
 
 
-def similar_classes(classes: DataFrame, threshold: float) -> DataFrame:
+def _keys(prefix: Column, first_frequent: int, depth_prefix: Column, tiny: Column) -> Column:
+    """The rare elements of the prefix, of ``tiny`` sets all, and all pairs of frequent elements of the prefix that is one longer."""
+    singles = F.transform(F.filter(prefix, lambda x: (x < first_frequent) | tiny), lambda x: F.struct(x.alias("k1"), F.lit(-1).cast("long").alias("k2")))
+    frequent = F.filter(depth_prefix, lambda x: x >= first_frequent)
+    pairs = F.transform(frequent, lambda x, i: F.transform(F.slice(frequent, i + 2, F.size(frequent)), lambda y: F.struct(x.alias("k1"), y.alias("k2"))))
+    return F.concat(singles, F.flatten(pairs))
+
+
+def similar_classes(classes: DataFrame, threshold: float, rare: int = RARE) -> DataFrame:
     """(class_a, class_b, overlap, size_a, size_b) of all pairs of distinct sets with similarity of at least ``threshold``.
 
     ``classes`` has one row (class, elements) per distinct set. Of a pair, class_a is that
-    of the smaller set, or of the smaller class if the sizes are equal.
+    of the smaller set, or the smaller class if the sizes are equal.
+
+    Two similar sets share an element within their prefixes. If the rarest shared one is in
+    at most ``rare`` sets, it is their key. Else all shared elements are frequent, and
+    within prefixes that are longer by one the sets share two; such pairs are their keys.
+    Sets so small that one shared element could suffice have all their elements as keys.
     """
     held = classes.select("class", F.explode("elements").alias("element"))
     # Numbers follow rarity: the sort gives increasing partitions, and so increasing numbers.
-    counted = held.groupBy("element").agg(F.count(F.lit(1)).alias("n")).orderBy("n", "element")
-    order = materialise(counted.select("element", F.monotonically_increasing_id().alias("token")), "order")
-    numbered = join_on_hot_keys(held, order, ["element"])
-    sets = numbered.groupBy("class").agg(F.sort_array(F.collect_list("token")).alias("tokens")).withColumn("n", F.size("tokens"))
+    counted = held.groupBy("element").agg(F.count(F.lit(1)).alias("holders")).orderBy("holders", "element")
+    order = materialise(counted.select("element", "holders", F.monotonically_increasing_id().alias("token")), "order")
+    first_frequent = order.where(F.col("holders") > rare).agg(F.min("token")).first()[0]
+    first_frequent = 2**62 if first_frequent is None else first_frequent
+    numbered = join_on_hot_keys(held, order.select("element", "token"), ["element"])
+    sets = numbered.groupBy("class").agg(F.sort_array(F.collect_list("token")).alias("tokens")).select("class", "tokens", F.size("tokens").alias("n"), F.monotonically_increasing_id().alias("set"))
     sets = materialise(sets, "sets")
 
     probe = F.col("n") - _ceil(F.lit(threshold) * F.col("n")) + 1
     index = F.col("n") - _ceil(F.lit(2 * threshold / (1 + threshold)) * F.col("n")) + 1
-    prefix = lambda length, side: sets.select(
-        F.posexplode(F.slice("tokens", 1, length)).alias(f"pos_{side}", "token"),
-        F.col("class").alias(f"class_{side}"),
-        F.col("tokens").alias(f"tokens_{side}"),
-        F.col("n").alias(f"size_{side}"),
-    )
-    a, b = prefix(index, "a"), prefix(probe, "b")
-    shorter = (F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("class_a") < F.col("class_b")))
-    long_enough = F.col("size_a") >= F.lit(threshold) * F.col("size_b") - _SLACK
+
+    def keyed(length: Column, side: str) -> DataFrame:
+        keys = _keys(F.slice("tokens", 1, length), first_frequent, F.slice("tokens", 1, length + 1), F.col("n") * threshold <= 1 + _SLACK)
+        return sets.select(F.explode(keys).alias("k"), F.col("set").alias(f"set_{side}"), F.col("n").alias(f"n_{side}"), F.col("class").alias(f"c_{side}")).select("k.k1", "k.k2", f"set_{side}", f"n_{side}", f"c_{side}")
+
+    shorter = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("c_a") < F.col("c_b")))
+    long_enough = F.col("n_a") >= F.lit(threshold) * F.col("n_b") - _SLACK
+    met = keyed(index, "a").join(keyed(probe, "b"), ["k1", "k2"]).where(shorter & long_enough).select("set_a", "set_b").distinct()
+    side = lambda s: sets.select(F.col("set").alias(f"set_{s}"), F.col("class").alias(f"class_{s}"), F.col("tokens").alias(f"tokens_{s}"), F.col("n").alias(f"size_{s}"))
     needed = _ceil(F.lit(threshold / (1 + threshold)) * (F.col("size_a") + F.col("size_b")))
-    possible = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))
-    met = a.join(b, "token").where(shorter & long_enough & (possible >= needed))
-    # The rarest shared element is the one before which the two share none.
-    rarest = met.where(~F.arrays_overlap(F.slice("tokens_a", 1, F.col("pos_a")), F.slice("tokens_b", 1, F.col("pos_b"))))
-    common = F.array_intersect("tokens_a", "tokens_b")
-    verified = rarest.where(F.size(common) >= needed)
-    return verified.select("class_a", "class_b", F.size(common).alias("overlap"), "size_a", "size_b")
+    overlap = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    full = met.join(side("a"), "set_a").join(side("b"), "set_b")
+    return full.where(overlap >= needed).select("class_a", "class_b", overlap.alias("overlap"), "size_a", "size_b")
 
 
 def similar_pairs(records: DataFrame, key: str, elements: str, threshold: float = 0.8, least_size: int = 1, among: str | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ from kenmark.llm.groups import components
 from kenmark.llm.lookalikes import Canon, Trie, by_table, same_reading_pairs
 from kenmark.llm.packing import fill_window, pack, packed
 from kenmark.llm.queries import queries
-from kenmark.llm.setjoin import linked_records, similar_pairs
+from kenmark.llm.setjoin import linked_records, similar_classes, similar_pairs
 
 # Consolidating matches into groups.
 
@@ -71,6 +71,17 @@ def test_similar_pairs_against_brute_force(spark):
     assert similar_pairs(df.limit(0), "id", "items").count() == 0
 
 
+@pytest.mark.parametrize(("threshold", "rare"), [(0.3, 0), (0.5, 3), (0.9, 1000)])
+def test_similar_classes_at_other_thresholds(spark, threshold, rare):
+    rng = random.Random(11)
+    sets = {tuple(sorted(rng.sample(range(12), rng.randrange(1, 6)))) for _ in range(80)}
+    rows = [(f"c{i}", [str(x) for x in s]) for i, s in enumerate(sorted(sets))]
+    got = {tuple(sorted((r.class_a, r.class_b))): r.overlap for r in similar_classes(spark.createDataFrame(rows, "class string, elements array<string>"), threshold, rare).collect()}
+    held = {c: set(e) for c, e in rows}
+    expected = {(a, b): len(held[a] & held[b]) for a in held for b in held if a < b and len(held[a] & held[b]) >= threshold * len(held[a] | held[b]) - 1e-9}
+    assert got == expected
+
+
 # Known rows of new batches.
 
 

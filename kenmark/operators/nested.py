@@ -26,6 +26,8 @@ FILLED = "_filled"
 PLACE = "_pos"
 #: Deeper levels stay as JSON text.
 MAX_DEPTH = 24
+#: Merged shapes that the driver gets at most.
+SHAPES = 16
 
 Shape = dict  # {"kind": "scalar"} | {"kind": "object", "members": {name: Shape}} | {"kind": "list", "of": Shape | None}
 
@@ -152,7 +154,7 @@ def spark_type(shape: Shape | None) -> T.DataType:
 
 
 def merged_shape(df: DataFrame, body: str, envelope: tuple[str, ...]) -> Shape:
-    """The schema that holds every record of ``df``; partitions send only their merged shape."""
+    """The schema that holds every record of ``df``."""
 
     def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shape = None
@@ -162,8 +164,17 @@ def merged_shape(df: DataFrame, body: str, envelope: tuple[str, ...]) -> Shape:
                     shape = merge(shape, shape_of(record))
         yield pa.RecordBatch.from_pydict({"shape": pa.array([json.dumps(shape)], pa.string())})
 
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shape = None
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                shape = merge(shape, json.loads(text))
+        yield pa.RecordBatch.from_pydict({"shape": pa.array([json.dumps(shape)], pa.string())})
+
+    # Merged in two steps, so that the driver gets at most SHAPES of them.
+    found = df.select(body).mapInArrow(infer, "shape string").distinct()
     shape = None
-    for row in df.select(body).mapInArrow(infer, "shape string").distinct().toLocalIterator():
+    for row in found.repartition(SHAPES, "shape").mapInArrow(combine, "shape string").distinct().toLocalIterator():
         shape = merge(shape, json.loads(row["shape"]))
     return shape or {"kind": "object", "members": {}}
 

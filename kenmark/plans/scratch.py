@@ -32,8 +32,18 @@ def scratch_dir(spark: SparkSession) -> str:
     return "file://" + _OWN[context.applicationId]
 
 
+def own_folder(spark: SparkSession) -> str:
+    """Below which this application writes."""
+    return f"{scratch_dir(spark)}/kenmark/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_dir(spark)}/kenmark/{label}-{uuid.uuid4().hex}"
+    return f"{own_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all that this application wrote; frames that still read it can't be used any more."""
+    remove(spark, own_folder(spark))
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

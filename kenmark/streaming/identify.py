@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,17 +11,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from kenmark.operators import graph
-from kenmark.operators.identify import IdentifyOptions, identify, within_window
+from kenmark.operators.bands import BandIndex
+from kenmark.operators.identify import IdentifyOptions, enrich, identify, identify_metrics, within_window
+from kenmark.operators.store import latest
 from kenmark.plans.scratch import materialise
 from kenmark.schema import SNAPSHOT
 from kenmark.sources.store import SnapshotStore
+from kenmark.streaming.observe import MemoryMetrics, Metrics, default_logger, report_batch
 
 
 class DeviceManager:
     """Holds a store, options, post-processors and a log; identifies frames or streams."""
 
-    def __init__(self, store: SnapshotStore, options: IdentifyOptions | None = None) -> None:
+    def __init__(self, store: SnapshotStore, options: IdentifyOptions | None = None, metrics: Metrics | None = None, logger: logging.Logger | None = None) -> None:
         self.store, self.options = store, options or IdentifyOptions()
+        self.sink, self.logger = metrics or MemoryMetrics(), logger or default_logger()
         self.processors: dict[str, Callable[[DataFrame], DataFrame]] = {}
         self.failures: list[tuple[str, str]] = []
         self.log: DataFrame | None = None
@@ -42,8 +48,7 @@ class DeviceManager:
         Rows whose content hash was seen within the dedup window take the result of the row
         that opened the window; they are neither scored nor saved again.
         """
-        from kenmark.operators.identify import enrich
-
+        began = time.perf_counter()
         rows = materialise(within_window(incoming, "signals_hash", "ts", self.options.dedup_ms), "arrived")
         leads = rows.where(F.col("signals_hash").isNull() | (F.unix_millis("ts") == F.col("opened_ms"))) if self.options.dedup_ms > 0 else rows
         once = leads.where(F.col("signals_hash").isNull()).unionByName(leads.where(F.col("signals_hash").isNotNull()).dropDuplicates(["signals_hash", "opened_ms"]))
@@ -54,7 +59,10 @@ class DeviceManager:
         hits = rows.join(once.select("snapshot_id"), "snapshot_id", "left_anti").select("snapshot_id", "signals_hash", "opened_ms")
         repeated = hits.join(heads.drop("query_id"), ["signals_hash", "opened_ms"]).withColumn("candidates", F.lit(0)).select(F.col("snapshot_id").alias("query_id"), "device_id", "confidence", "is_new_device", "candidates", F.lit(True).alias("cache_hit"))
         results = found.withColumn("cache_hit", F.lit(False)).unionByName(repeated)
+        report_batch(results, time.perf_counter() - began, self.sink, self.logger)
         results, failures = enrich(results, self.processors)
+        for name, error in failures.items():
+            self.logger.warning("post-processor %s failed: %s", name, error)
         self.failures += failures.items()
         self.log = results if self.log is None else self.log.unionByName(results, allowMissingColumns=True)
         return results
@@ -63,9 +71,12 @@ class DeviceManager:
         """The identity graph of the store, by shared subnets."""
         return graph.fold_edges(graph.subnet_observations(self.store.scan()))
 
-    def metrics(self) -> DataFrame | None:
-        from kenmark.operators.identify import identify_metrics
+    def band_index(self) -> BandIndex:
+        """The MinHash index of the newest snapshot of each device."""
+        return BandIndex.build(latest(self.store.scan()), "device_id", "fingerprint")
 
+    def metrics(self) -> DataFrame | None:
+        """Counters and means over all results so far."""
         return None if self.log is None else identify_metrics(self.log)
 
 

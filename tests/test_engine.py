@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kenmark.functions.registry import ScoringOptions
+from kenmark.operators.bands import BandIndex
 from kenmark.operators.blocking import BROADCAST_QUERIES, any_key, block
 from kenmark.operators.drift import drift
 from kenmark.operators.identify import IdentifyOptions, enrich, within_window
@@ -105,6 +106,8 @@ def test_manager_and_stream(spark, tables, tmp_path):
     again = {r.query_id: r for r in manager.identify_many(second.withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 DAY"))).collect()}
     assert len(again) == 40 and not any(again[r.query_id].is_new_device for r in found)
     assert manager.metrics().first().identify_total == 60
+    assert manager.sink.counters["identify_total"] == 60 and manager.sink.mean("batch_seconds") > 0
+    assert {r.name for r in manager.sink.summary(spark).collect()} >= {"identify_new", "mean_confidence"}
     with pytest.raises(ValueError):
         manager.use("broken", lambda df: df)
     other = DeviceManager(open_store(spark, "memory"), replace(manager.options))
@@ -118,3 +121,16 @@ def test_enrich_isolates_failures(spark):
     df = spark.range(2)
     out, failures = enrich(df, {"bad": lambda d: 1 / 0, "good": lambda d: d.withColumn("x", F.lit(1))})
     assert out.columns == ["id", "x"] and "ZeroDivisionError" in failures["bad"]
+
+
+def test_band_index(spark, tables):
+    rows = snapshots(spark, tables, 12).where("size(fingerprint.fonts) > 0")
+    index = BandIndex.build(rows, "snapshot_id", "fingerprint", 32, 8)
+    found = {(r.query_id, r.id) for r in index.query(rows, "snapshot_id", "fingerprint").collect()}
+    ids = [r.snapshot_id for r in rows.select("snapshot_id").collect()]
+    assert {(i, i) for i in ids} <= found and index.size() == len(ids)
+    assert index.add(rows, "snapshot_id", "fingerprint").size() == len(ids)
+    less = index.remove(spark.createDataFrame([(ids[0],)], "id string"))
+    assert less.size() == len(ids) - 1 and index.clear().size() == 0
+    with pytest.raises(ValueError):
+        BandIndex.build(rows, "snapshot_id", "fingerprint", 10, 3)

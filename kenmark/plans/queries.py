@@ -46,11 +46,25 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 
+#: Columns of times, which queries and SQL give as microseconds since 1970: engines differ in how they show times.
+TIMES = {
+    **dict.fromkeys(["evidence_richness", "attractor_risk", "attractor_freq_model", "canonical_fingerprint", "lsh_tokens"], ["received_at"]),
+    **dict.fromkeys(["history_last_n", "latest_per_device", "dedup_window"], ["ts"]),
+    **dict.fromkeys(["candidates_none", "candidates_any_key", "candidates_all_keys", "candidate_topk"], ["last_seen"]),
+    **dict.fromkeys(["subnet_edges", "edges_folded"], ["first_seen", "last_seen"]),
+    "device_user_link": ["linked_at"],
+    "edge_prune": ["last_seen"],
+}
+
+
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
+    times = TIMES.get(name, [])
+
     def register(f: Query) -> Query:
-        _QUERIES[name] = f
+        _QUERIES[name] = (lambda spark, folder: f(spark, folder).withColumns({t: F.unix_micros(t) for t in times})) if times else f
         if oracle:
-            _SQL[name] = oracle
+            replaced = ", ".join(f"epoch_us({t}) AS {t}" for t in times)
+            _SQL[name] = f"SELECT * REPLACE ({replaced}) FROM ({oracle})" if times else oracle
         return f
 
     return register

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: A device with more snapshots is cut by time into blocks, up to so many and one.
+ROWS_PER_BLOCK, CUTS = 2000, 63
+
 
 def history(snapshots: DataFrame, n: int = 50, device: str = "device_id") -> DataFrame:
     """The ``n`` newest distinct snapshots of each device, with ``rank`` 1 for the newest; ties by snapshot id.
@@ -32,6 +35,32 @@ def consecutive(snapshots: DataFrame, n: int = 5) -> DataFrame:
     )
 
 
+def neighbours(snapshots: DataFrame, rows: int = ROWS_PER_BLOCK) -> DataFrame:
+    """Pairs of all consecutive snapshots of each device: ``l`` the newer, ``r`` the older; ties by snapshot id.
+
+    A device of more than ``rows`` snapshots is cut at quantiles of its times, so that it is
+    many groups. The rows at a cut end the newer block as guests too: they are what its
+    oldest row is paired with. Copies of a snapshot are neighbours of one time and left out.
+    """
+    known = snapshots.where(F.col("device_id").isNotNull())
+    hot = known.groupBy("device_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows).select("device_id")
+    shares = [(i + 1) / (CUTS + 1) for i in range(CUTS)]
+    cuts = known.select("device_id", "ts").join(F.broadcast(hot), "device_id").groupBy("device_id").agg(F.array_distinct(F.percentile_approx("ts", shares)).alias("_cuts"))
+    block = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("ts"))), F.lit(0))
+    places = F.when(F.array_contains("_cuts", F.col("ts")), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    held = known.select("device_id", "snapshot_id", "ts", "fingerprint").join(F.broadcast(cuts), "device_id", "left").withColumns({"_block": F.when(F.col("_cuts").isNull(), 0).otherwise(block), "_guest": F.explode(places)})
+    # Guests are the oldest of their block, so they come last in its order by time.
+    placed = held.withColumn("_block", F.col("_block") + F.col("_guest")).drop("_cuts")
+    newest = Window.partitionBy("device_id", "_block").orderBy(F.desc("ts"), "snapshot_id")
+    once = placed.withColumn("_before", F.lag("snapshot_id").over(newest)).where(~F.col("_before").eqNullSafe(F.col("snapshot_id")))
+    older = F.lead(F.struct("ts", "fingerprint")).over(newest)
+    return (
+        once.withColumn("_o", older)
+        .where(F.col("_o").isNotNull() & (F.col("_guest") == 0))
+        .select("device_id", "snapshot_id", "ts", F.col("_o.ts").alias("older_ts"), F.col("fingerprint").alias("l"), F.col("_o.fingerprint").alias("r"))
+    )
+
+
 def first_by_hash(snapshots: DataFrame, digest: str = "signals_hash") -> DataFrame:
     """One row per content hash, the earliest by (ts, snapshot_id); rows without a hash all stay."""
     ordered = Window.partitionBy(digest).orderBy("ts", "snapshot_id")

@@ -75,7 +75,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return stores.consecutive(table(spark, folder, "snapshots"))
+    return stores.neighbours(table(spark, folder, "snapshots"))
 
 
 def once(incoming: DataFrame) -> DataFrame:

@@ -461,7 +461,7 @@ def dedup_window(spark: SparkSession, folder: str) -> DataFrame:
     "SELECT device_id_a, device_id_b, round(least(0.97::DOUBLE, 0.4::DOUBLE + 0.2::DOUBLE * (count(*) - 1)), 9) AS weight, min(seen_at) AS first_seen, max(seen_at) AS last_seen, count(*)::INT AS occurrences FROM met GROUP BY ALL",
 )
 def subnet_edges(spark: SparkSession, folder: str) -> DataFrame:
-    edges = graph.fold_edges(graph.subnet_observations(table(spark, folder, "snapshots")))
+    edges = graph.subnet_edges(table(spark, folder, "snapshots"))
     return edges.select("device_id_a", "device_id_b", F.round("weight", 9).alias("weight"), "first_seen", "last_seen", "occurrences")
 
 

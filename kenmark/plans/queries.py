@@ -13,8 +13,8 @@ from kenmark.functions.generate import scenario_pairs
 from kenmark.functions.minhash import band_table, tokens
 from kenmark.functions.registry import ScoringOptions
 from kenmark.functions.text import normalised
-from kenmark.functions.tlsh import digest_udf, distance_udf
-from kenmark.operators import blocking, evaluate, graph
+from kenmark.functions.tlsh import digest_udf
+from kenmark.operators import blocking, evaluate, fuzzy, graph
 from kenmark.operators import drift as drifts
 from kenmark.operators import identify as identification
 from kenmark.operators import store as stores
@@ -587,8 +587,7 @@ def tlsh_hash(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("tlsh_near_duplicates")
 def tlsh_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
-    near = pairs(spark, folder).select("device_id", "snapshot_id", *(digest_udf(canonical_fingerprint(F.col(s))).alias(s) for s in "lr"))
-    return near.select("device_id", "snapshot_id", distance_udf("l", "r").alias("distance")).where("distance < 50")
+    return fuzzy.near_duplicates(table(spark, folder, "documents"), "doc_id", F.col("text")).withColumnsRenamed({"a": "doc_id_a", "b": "doc_id_b"})
 
 
 def queries() -> dict[str, Query]:

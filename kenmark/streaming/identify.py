@@ -1,4 +1,4 @@
-"""Identification of a stream of fingerprints, in micro-batches and as an exact replay."""
+"""Identification of a stream of fingerprints, in micro-batches; rows of a batch don't see each other."""
 
 from __future__ import annotations
 

@@ -139,6 +139,8 @@ class Canon:
         if not text.isascii():
             text = TOKEN.sub(lambda m: self.token(m[0]), text)
             text = OTHER.sub(lambda m: plain(m[0]), text)
+            # Marks outside tokens compose with what stands before them.
+            text = unicodedata.normalize("NFC", text)
         return text.replace("\r\n", "\n")
 
 

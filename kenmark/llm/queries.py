@@ -74,5 +74,18 @@ SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM grams d JOIN grams i ON d.g
 """
 
 
+_ID = f"lower(trim({{}}, '{WHITE_SPACE}'))"
+
+P7_SQL = f"""
+WITH RECURSIVE links AS MATERIALIZED (
+  SELECT {_ID.format("device_id_a")} AS a, {_ID.format("device_id_b")} AS b FROM edges WHERE weight >= 0.5 AND NOT isnan(weight)
+), ways AS MATERIALIZED (SELECT a, b FROM links WHERE a <> '' AND b <> '' AND a <> b UNION SELECT b, a FROM links WHERE a <> '' AND b <> '' AND a <> b
+), reach(device_id, group_id) USING KEY (device_id) AS (
+  SELECT a, least(a, min(b)) FROM ways GROUP BY a
+  UNION SELECT w.a, min(r.group_id) FROM reach r JOIN ways w ON w.b = r.device_id JOIN recurring.reach o ON o.device_id = w.a WHERE r.group_id < o.group_id GROUP BY w.a
+) SELECT device_id, group_id FROM reach
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_SQL, "p9_found": P9_SQL}
+    return {"p2_found": P2_SQL, "p7_found": P7_SQL, "p9_found": P9_SQL}

@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -47,6 +48,18 @@ def test_components(spark, per_task):
     assert components(df.limit(0), "u", "v").count() == 0
 
 
+@pytest.mark.parametrize("order", ["rising", "falling", "shuffled"])
+def test_chains_end_whatever_the_order_of_ids(spark, order):
+    n, per_task = 1000, 50
+    ids = list(range(n + 1))
+    {"rising": ids.sort, "falling": ids.reverse, "shuffled": lambda: random.Random(5).shuffle(ids)}[order]()
+    pairs = [(f"n{a:06d}", f"n{b:06d}") for a, b in zip(ids, ids[1:])]
+    trace: list[int] = []
+    got = components(spark.createDataFrame(pairs, "u string, v string"), "u", "v", per_task, trace).collect()
+    assert {r.node for r in got} == {f"n{i:06d}" for i in range(n + 1)} and {r.root for r in got} == {"n000000"}
+    assert len(trace) - 1 <= 2 * math.log2(n / per_task) and all(b < 0.85 * a for a, b in zip(trace, trace[1:]))
+
+
 # All similar pairs of sets.
 
 

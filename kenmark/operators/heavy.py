@@ -13,15 +13,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kenmark.functions.text import normalised
+from kenmark.plans.scratch import materialise
 
 #: No more keys than this are treated as heavy; a key below 1/1024 of the rows never is.
 MOST_HEAVY = 256
 SKETCH_ITEMS = 4096
+#: A group of more members is dealt to parts of about so many when pairs are formed.
+ROWS_PER_PART = 1000
 
 
 def key_text(keys: list[str]) -> Column:
-    """One text per combination of keys, different for different combinations."""
-    return F.to_json(F.struct(*(F.col(k).cast("string").alias(f"k{i}") for i, k in enumerate(keys))), {"ignoreNullFields": "false"})
+    """One text per combination of keys, different for different combinations; bytes are in base 64."""
+    return F.to_json(F.struct(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys))), {"ignoreNullFields": "false"})
 
 
 def heavy_keys(df: DataFrame, keys: list[str], share: float = 1 / 1024) -> list[tuple[str, int]]:
@@ -77,6 +80,28 @@ def join_on_hot_keys(left: DataFrame, right: DataFrame, keys: list[str], how: st
     return hot.drop("_k").unionByName(cold.drop("_k"))
 
 
+def expand_links(links: DataFrame, members: DataFrame, group: str, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+    """Each member of the one group with each of the other, for every row of ``links``.
+
+    ``links`` has the group's name with the endings _a and _b, ``members`` the group and
+    further columns, which get these endings too. A group of more than ``rows_per_part``
+    members is dealt to parts and its links to pairs of parts, so that one key of the joins
+    makes at most about ``rows_per_part`` squared rows, whatever the size of a group.
+    """
+    sizes = members.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_part)
+    big = materialise(sizes.select(group, F.ceil(F.col("_n") / rows_per_part).cast("int").alias("_parts")), "big")
+    on = lambda s: [f"{group}_{s}"]
+    if not big.isEmpty():
+        place = F.pmod(F.xxhash64(*members.columns), F.coalesce("_parts", F.lit(1)).cast("long")).cast("int")
+        members = join_on_hot_keys(members, big, [group], "left").withColumn("_part", place).drop("_parts")
+        for s in "ab":
+            parts = big.withColumnRenamed(group, f"{group}_{s}")
+            links = join_on_hot_keys(links, parts, on(s), "left").withColumn(f"_part_{s}", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+        on = lambda s: [f"{group}_{s}", f"_part_{s}"]
+    side = lambda s: members.withColumnsRenamed({c: f"{c}_{s}" for c in members.columns})
+    return links.join(side("a"), on("a")).join(side("b"), on("b")).drop("_part_a", "_part_b")
+
+
 def latest_snapshots(snapshots: DataFrame, n: int = 3) -> DataFrame:
     """The ``n`` latest snapshots per pair of normalised platform and screen size."""
     flat = snapshots.select(

@@ -1,6 +1,7 @@
+from collections import Counter
 from datetime import datetime, timedelta
 
-from kenmark.operators.heavy import heavy_keys, join_on_hot_keys, latest_per_key
+from kenmark.operators.heavy import expand_links, heavy_keys, join_on_hot_keys, latest_per_key
 
 T0 = datetime(2025, 1, 1)
 
@@ -26,3 +27,12 @@ def test_join_equals_plain_join(spark):
     right = spark.createDataFrame([("h", 1), ("1", 2), ("3", 3)], "k string, v int")
     for how in ("inner", "left"):
         assert sorted(map(tuple, join_on_hot_keys(left, right, ["k"], how).select("id", "k", "v").collect())) == sorted(map(tuple, left.join(right, "k", how).select("id", "k", "v").collect()))
+
+
+def test_links_of_big_groups_expand_whole(spark):
+    members = spark.range(300).selectExpr("unhex(case when id < 200 then 'ff' when id < 290 then 'fe' else hex(id) end) as g", "id as item")
+    links = spark.createDataFrame([("ff", "ff"), ("ff", "fe"), ("fe", hex(295)[2:])], "a string, b string").selectExpr("unhex(a) as g_a", "unhex(b) as g_b")
+    plain = links.join(members.toDF("g_a", "item_a"), "g_a").join(members.toDF("g_b", "item_b"), "g_b")
+    rows = lambda df: Counter((bytes(r.g_a), bytes(r.g_b), r.item_a, r.item_b) for r in df.collect())
+    assert rows(expand_links(links, members, "g", 30)) == rows(expand_links(links, members, "g")) == rows(plain)
+    assert expand_links(links.limit(0), members, "g", 30).count() == expand_links(links, members.limit(0), "g", 30).count() == 0

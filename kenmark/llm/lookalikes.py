@@ -1,13 +1,15 @@
 """Visually identical text in one consistent form.
 
 Tokens that hold a non-ASCII character are counted over all documents; the most frequent
-spellings form the vocabulary, a trie. A token is run through the trie by a weighted edit
-automaton: a look-alike letter, full-width form, combining or composed accent and an
-ignorable character cost nothing, any other edit costs one, and the limit is zero unless a
-caller raises it. Of the spellings reached at the least cost the most frequent one is the
-canonical one. Tokens that read as ASCII take their ASCII spelling, and tokens that no
-spelling matches are normalised by table. With the limit of zero two tokens get the same
-form exactly if they read the same, whatever the vocabulary holds.
+spellings form the vocabulary, a trie, and each that reads as ASCII brings its ASCII
+spelling along. Every token with a non-ASCII character is run through the trie by a
+weighted edit automaton: a look-alike letter, full-width form, combining or composed accent
+and an ignorable character cost nothing, any other edit costs one, and the limit is zero
+unless a caller raises it. Of the spellings reached at the least cost an ASCII one is the
+canonical one, else the most frequent; tokens that no spelling matches are normalised by
+table. With the limit of zero two tokens get the same form exactly if they read the same,
+whatever the vocabulary holds: a spelling reads as the tokens that reach it, and where the
+reading is ASCII the ASCII spelling is among those reached.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kenmark.operators.heavy import expand_links, join_on_hot_keys
 from kenmark.plans.scratch import materialise
 
 # Letters that look like a Latin one, in natural order.
@@ -72,34 +75,53 @@ def spelling(token: str) -> str:
 
 
 class Trie:
-    """Spellings with their counts; edges are single decomposed characters."""
+    """Spellings with their counts; edges are single decomposed characters, also found by how they look."""
 
     def __init__(self, counts: dict[str, int]) -> None:
         self.edges: list[dict[str, int]] = [{}]
-        self.ends: dict[int, tuple[int, str]] = {}
+        self.like: list[dict[str, list[int]]] = [{}]
+        self.ends: dict[int, tuple[bool, int, str]] = {}
         for word, n in counts.items():
-            node = 0
-            for c in unicodedata.normalize("NFD", word):
-                if c not in self.edges[node]:
-                    self.edges.append({})
-                    self.edges[node][c] = len(self.edges) - 1
-                node = self.edges[node][c]
-            self.ends[node] = max(self.ends.get(node, (0, "")), (n, word), key=lambda x: (x[0], [-ord(c) for c in x[1]]))
+            self._add(word, n)
+            if not word.isascii() and (form := by_table(word)).isascii() and form:
+                self._add(form, counts.get(form, 0))
+
+    def _add(self, word: str, n: int) -> None:
+        node = 0
+        for c in unicodedata.normalize("NFD", word):
+            child = self.edges[node].get(c)
+            if child is None:
+                child = self.edges[node][c] = len(self.edges)
+                self.edges.append({})
+                self.like.append({})
+                self.like[node].setdefault(plain(c), []).append(child)
+            node = child
+        own = (word.isascii(), n, word)
+        self.ends[node] = max(self.ends.get(node, own), own, key=lambda x: (x[0], x[1], [-ord(c) for c in x[2]]))
 
     def best(self, token: str, limit: int = 0) -> str | None:
-        """The most frequent spelling at the least cost within ``limit``, ties by the smaller text."""
-        states = {0: 0}
-        for char in letters(token):
-            states = self._step(self._skip(states, limit), char, limit)
-            if not states:
-                return None
-        reached = [(cost, *self.ends[node]) for node, cost in self._skip(states, limit).items() if node in self.ends]
-        return min(reached, key=lambda x: (x[0], -x[1], x[2]))[2] if reached else None
+        """The ASCII, else the most frequent spelling at the least cost within ``limit``, ties by the smaller text."""
+        if not limit:
+            nodes = [0]
+            for char in letters(token):
+                nodes = [child for node in nodes for child in self.like[node].get(char, ())]
+                if not nodes:
+                    return None
+            states = dict.fromkeys(nodes, 0)
+        else:
+            states = {0: 0}
+            for char in letters(token):
+                states = self._step(self._skip(states, limit), char, limit)
+                if not states:
+                    return None
+            states = self._skip(states, limit)
+        reached = [(cost, *self.ends[node]) for node, cost in states.items() if node in self.ends]
+        return min(reached, key=lambda x: (x[0], not x[1], -x[2], x[3]))[3] if reached else None
 
     def _skip(self, states: dict[int, int], limit: int) -> dict[int, int]:
         """Also the states that are reached by characters which the token lacks."""
         out, queue = dict(states), list(states)
-        while queue and limit:
+        while queue:
             node = queue.pop()
             for child in self.edges[node].values():
                 if out[node] + 1 <= limit and out[node] + 1 < out.get(child, limit + 1):
@@ -127,9 +149,9 @@ class Canon:
 
     def token(self, token: str) -> str:
         if (form := self.known.get(token)) is None:
-            form = by_table(token)
-            if not form.isascii():
-                form = self.trie.best(token, self.limit) or form
+            form = self.trie.best(token, self.limit)
+            if form is None:
+                form = by_table(token)
             if len(self.known) >= 200_000:
                 self.known.clear()
             self.known[token] = form
@@ -195,18 +217,37 @@ def canonical_texts(documents: DataFrame, key: str, text: str, most: int = VOCAB
     return documents.select(key, text).mapInArrow(run, schema)
 
 
+def _readings(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, stored, reads) of the rows with key and text, once each, written."""
+    return materialise(canonical_texts(documents, key, text, keep_text=False).where(F.col("stored").isNotNull() & F.col(key).isNotNull()).distinct().withColumnRenamed(key, "key"), "readings")
+
+
 def same_reading_pairs(documents: DataFrame, key: str, text: str) -> DataFrame:
     """(id_a, id_b), smaller id first: texts that differ as stored but read the same.
 
-    Stored texts are grouped first, so that pairs are formed between different texts only.
+    Stored texts are paired first, so that documents meet between different texts only;
+    readings of many spellings and spellings of many documents are split over tasks.
     """
-    keyed = materialise(canonical_texts(documents, key, text, keep_text=False).where(F.col("stored").isNotNull() & F.col(key).isNotNull()).distinct(), "readings")
+    keyed = _readings(documents, key, text)
     several = keyed.groupBy("reads").agg(F.min("stored").alias("low"), F.max("stored").alias("high")).where("low <> high").select("reads")
     members = materialise(keyed.join(several, "reads", "left_semi"), "members")
     texts = members.select("reads", "stored").distinct()
-    a = texts.select("reads", F.col("stored").alias("stored_a"))
-    b = texts.select("reads", F.col("stored").alias("stored_b"))
-    pairs = a.join(b, "reads").where("stored_a < stored_b").drop("reads")
-    side = lambda s: members.select(F.col("stored").alias(f"stored_{s}"), F.col(key).alias(f"key_{s}"))
-    met = pairs.join(side("a"), "stored_a").join(side("b"), "stored_b")
+    own = texts.select(F.col("reads").alias("reads_a"), F.col("reads").alias("reads_b")).distinct()
+    pairs = expand_links(own, texts, "reads").where("stored_a < stored_b").select("stored_a", "stored_b")
+    met = expand_links(pairs, members.select("stored", "key"), "stored")
     return met.select(F.least("key_a", "key_b").alias("id_a"), F.greatest("key_a", "key_b").alias("id_b"))
+
+
+def readings(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, reading, n_spellings, n_links): the compact form of ``same_reading_pairs``, one row per document.
+
+    ``reading`` is the smallest key of the documents that read the same, ``n_spellings``
+    counts their different texts, ``n_links`` those whose stored text is another one. Rows
+    without key or text don't count, repeated rows count once.
+    """
+    keyed = _readings(documents, key, text)
+    spelled = materialise(keyed.groupBy("reads", "stored").agg(F.count(F.lit(1)).alias("own"), F.min("key").alias("reading")), "spelled")
+    classes = spelled.groupBy("reads").agg(F.count(F.lit(1)).alias("n_spellings"), F.sum("own").alias("n"), F.min("reading").alias("reading"))
+    counted = join_on_hot_keys(spelled.drop("reading"), classes, ["reads"]).select("reads", "stored", "reading", "n_spellings", (F.col("n") - F.col("own")).alias("n_links"))
+    out = join_on_hot_keys(keyed, counted, ["reads", "stored"])
+    return out.select(F.col("key").alias(key), "reading", "n_spellings", "n_links")

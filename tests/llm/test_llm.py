@@ -1,4 +1,5 @@
 import math
+import pickle
 import random
 from collections import Counter, defaultdict
 
@@ -13,7 +14,7 @@ from kenmark.llm import leaks
 from kenmark.llm.cells import CellIndex, known_rows
 from kenmark.llm.eliteness import distinctive_terms, fit
 from kenmark.llm.groups import components
-from kenmark.llm.lookalikes import Canon, Trie, by_table, same_reading_pairs
+from kenmark.llm.lookalikes import Canon, Trie, by_table, readings, same_reading_pairs
 from kenmark.llm.packing import fill_window, pack, packed
 from kenmark.llm.queries import queries
 from kenmark.llm.setjoin import linked_records, similar_classes, similar_pairs
@@ -84,12 +85,12 @@ def test_similar_pairs_against_brute_force(spark):
     assert similar_pairs(df.limit(0), "id", "items").count() == 0
 
 
-@pytest.mark.parametrize(("threshold", "rare"), [(0.3, 0), (0.5, 3), (0.9, 1000)])
-def test_similar_classes_at_other_thresholds(spark, threshold, rare):
+@pytest.mark.parametrize(("threshold", "rare", "most", "per_part"), [(0.3, 0, 400, 20_000), (0.5, 3, 4, 5), (0.9, 1000, 400, 3), (0.3, 0, 3, 4)])
+def test_similar_classes_at_other_thresholds(spark, threshold, rare, most, per_part):
     rng = random.Random(11)
     sets = {tuple(sorted(rng.sample(range(12), rng.randrange(1, 6)))) for _ in range(80)}
     rows = [(f"c{i}", [str(x) for x in s]) for i, s in enumerate(sorted(sets))]
-    got = {tuple(sorted((r.class_a, r.class_b))): r.overlap for r in similar_classes(spark.createDataFrame(rows, "class string, elements array<string>"), threshold, rare).collect()}
+    got = {tuple(sorted((r.class_a, r.class_b))): r.overlap for r in similar_classes(spark.createDataFrame(rows, "class string, elements array<string>"), threshold, rare, most, per_part).collect()}
     held = {c: set(e) for c, e in rows}
     expected = {(a, b): len(held[a] & held[b]) for a in held for b in held if a < b and len(held[a] & held[b]) >= threshold * len(held[a] | held[b]) - 1e-9}
     assert got == expected
@@ -171,7 +172,7 @@ WORDS = [b"a", b"b", b"c", b"d"]
 @given(st.lists(st.lists(st.sampled_from(WORDS), max_size=14), min_size=1, max_size=4), st.lists(st.sampled_from([*WORDS, b"zz"]), max_size=40), st.integers(1, 4))
 def test_automaton_finds_what_ngrams_find(items, text, least):
     held = dict(enumerate(items))
-    automaton = leaks.SuffixAutomaton(held, least)
+    automaton = pickle.loads(pickle.dumps(leaks.SuffixAutomaton(list(held.items()), least)))
     found = {item for item, _, _ in leaks.find_spans(automaton, b" ".join(text).decode(), least)}
     grams = lambda t: {tuple(t[i : i + least]) for i in range(len(t) - least + 1)}
     assert found == {i for i, t in held.items() if grams(t) & grams(text)}
@@ -187,8 +188,9 @@ def test_leaks_in_documents(spark):
     clean = {r.doc: r for r in leaks.without_leaks(d, "doc", "text", e, "item", "text", 12, 0.95).collect()}
     assert clean[1].text == "before  after" and clean[2].text == "nothing" and clean[4].leaked_words == 0
     assert leaks.leaked_spans(d, "doc", "text", e.limit(0), "item", "text").count() == 0
-    blocks = list(leaks.item_blocks(e, "item", "text", 10))
-    assert len(blocks) == 3
+    assert len(list(leaks.item_blocks(e, "item", "text", 12, 10))) == 3
+    cut = {(r.doc, r.item) for r in leaks.leaked_spans(d, "doc", "text", e, "item", "text", 5, 6).collect()}
+    assert cut == {(r.doc, r.item) for r in leaks.leaked_spans(d, "doc", "text", e, "item", "text", 5).collect()} >= got
 
 
 # Look-alikes.
@@ -201,6 +203,7 @@ def test_forms():
     assert canon.text("oυρά") == "ουρά" == canon.text("ουρά")
     assert canon.text("Résumé") != canon.text("Resume") and canon.text("A") != canon.text("a")
     assert canon.text("") == "" and canon.text("​") == ""
+    assert canon.text("раѕѕ") == Canon({"раѕѕ": 9}).text("раѕѕ") == "pass" and Trie({"раѕѕ": 9}).best("pаss") == "pass"
     assert Trie({"ab": 1, "abc": 5}).best("ab", 1) == "ab" and Trie({"abc": 5}).best("ab", 1) == "abc" and Trie({"abc": 5}).best("x", 1) is None
 
 
@@ -216,6 +219,10 @@ def test_same_reading_pairs(spark):
     rows = [(1, "pаss"), (2, "pass"), (3, "pass"), (4, "Pass"), (5, None), (6, ""), (7, long), (8, long + "​"), (None, "pass"), (2, "pass")]
     got = sorted(map(tuple, same_reading_pairs(spark.createDataFrame(rows, "id long, text string").withColumn("stored", F.lit(1)), "id", "text").collect()))
     assert got == [(1, 2), (1, 3), (7, 8)]
+    df = spark.createDataFrame(rows, "id long, text string").withColumn("key", F.lit("clash"))
+    compact = {r.id: (r.n_spellings, r.n_links) for r in readings(df, "id", "text").collect()}
+    assert compact == {1: (2, 2), 2: (2, 1), 3: (2, 1), 4: (1, 0), 6: (1, 0), 7: (2, 1), 8: (2, 1)}
+    assert readings(df.limit(0), "id", "text").count() == 0
     assert same_reading_pairs(spark.createDataFrame([], "id long, text string"), "id", "text").count() == 0
 
 

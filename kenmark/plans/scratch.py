@@ -53,8 +53,31 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    """(file system, path) as the cluster's file system sees it."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a written table through the file system it lies on."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    files, target = _file_system(spark, path)
+    files.delete(target, True)
+
+
+def publish(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small new file, whole or not at all; FileExistsError if there is one of that name."""
+    files, target = _file_system(spark, path)
+    _, draft = _file_system(spark, f"{path}.{uuid.uuid4().hex}")
+    out = files.create(draft, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if files.exists(target) or not files.rename(draft, target):
+        files.delete(draft, False)
+        raise FileExistsError(path)
+
+
+def names_below(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the files and folders in a folder, in order; none if it doesn't exist."""
+    files, target = _file_system(spark, folder)
+    return sorted(x.getPath().getName() for x in files.listStatus(target)) if files.exists(target) else []

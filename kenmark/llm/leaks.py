@@ -67,18 +67,15 @@ class SuffixAutomaton:
         kept = [holders[s] if shortest[s] == s and s else [] for s in range(len(length))]
         self.held_at = np.cumsum([0, *map(len, kept)], dtype=np.int64)
         self.held = np.fromiter((i for x in kept for i in x), np.int32, self.held_at[-1])
-        self._open()
-
-    def _open(self) -> None:
         self.steps: dict[int, dict[int, int]] = {}
-        self.ups = self.lengths = None
-
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("steps", "ups", "lengths")}
+        self.ups: list[int] | None = None
 
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state)
-        self._open()
+    @classmethod
+    def of(cls, state: dict) -> SuffixAutomaton:
+        """From the attributes of one, of which a broadcast holds a copy per worker process; so do the tables that are opened."""
+        found = cls.__new__(cls)
+        found.__dict__ = state
+        return found
 
     def step(self, state: int) -> dict[int, int]:
         """The transitions of a state, as a table that is kept."""
@@ -207,11 +204,11 @@ def leaked_spans(documents: DataFrame, key: str, text: str, items: DataFrame, it
     blocks = item_blocks(items, item_key, item_text, least, words_per_block)
     block = next(blocks, None)
     while block is not None:
-        held = spark.sparkContext.broadcast(SuffixAutomaton(block, least))
+        held = spark.sparkContext.broadcast(SuffixAutomaton(block, least).__dict__)
         block = next(blocks, None)
 
         def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            automaton = held.value
+            automaton = SuffixAutomaton.of(held.value)
             for batch in batches:
                 rows = []
                 for place, body in enumerate(batch.column(1).to_pylist()):

@@ -1,7 +1,8 @@
 """Filling fixed-capacity containers with items, at target proportions of the sources.
 
 Texts longer than a container are cut into full pieces and a rest; nothing else is split.
-Pieces are spread over tasks of bounded size. Each task serves one queue per source by
+Pieces are numbered and spread over tasks of bounded tokens and bounded numbers of pieces,
+whatever their keys and sources. Each task serves one queue per source by
 deficit round-robin: a window of containers is filled by giving every queue its share of
 the window's tokens, and what a queue couldn't use, or used in excess, is carried to the
 next window. The first window of a task starts from the deficits that all earlier tasks
@@ -15,31 +16,42 @@ import base64
 from bisect import bisect_left, insort
 from collections import deque
 from collections.abc import Iterator
+from os.path import basename
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kenmark.plans.scratch import materialise
 
 CAPACITY = 2048
-#: Containers of a window, and tokens that one task packs in the mean.
-WINDOW, TOKENS_PER_TASK = 64, 20_000_000
+#: Containers of a window; tokens, and pieces, that one task packs in the mean at most.
+WINDOW, TOKENS_PER_TASK, PIECES_PER_TASK = 64, 20_000_000, 500_000
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that goes with the byte-level vocabularies.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+def _encoder(ranks: str):  # noqa: ANN202
+    import tiktoken
+
+    with open(ranks, "rb") as lines:
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
+
+
 def token_counts(documents: DataFrame, key: str, text: str, source: str, ranks: str = RANKS) -> DataFrame:
-    """(key, source, n_tokens) in tokens of the tokenizer whose ranks lie at ``ranks``; a null text has none."""
+    """(key, source, n_tokens) in tokens of the tokenizer whose ranks lie at ``ranks``; a null text has none.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
+    The file is read where the driver runs and sent along with the job.
+    """
+    documents.sparkSession.sparkContext.addFile(ranks)
+    name = basename(ranks)
 
-        with open(ranks, "rb") as lines:
-            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        encoder = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(SparkFiles.get(name))
         for batch in batches:
             n = [len(encoder.encode_ordinary(x)) if x else 0 for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=[key, source, "n_tokens"])
@@ -112,7 +124,40 @@ def pack(sizes: list[int], sources: list[str], deficits: dict[str, float], targe
     return out
 
 
-def packed(documents: DataFrame, key: str, text: str, source: str, capacity: int = CAPACITY, ranks: str = RANKS, target: dict[str, float] | None = None, window: int = WINDOW, tokens_per_task: int = TOKENS_PER_TASK) -> DataFrame:
+def carried_deficits(per: DataFrame, target: dict[str, float] | None = None) -> DataFrame:
+    """(task, s, share, deficit) from ``per`` (task, s, n): tokens of each source in each task.
+
+    ``share`` is the source's target share, by default that of all tokens. ``deficit`` is
+    what all earlier tasks leave the source: its share of their tokens, less its own. There
+    is a row per task and source that occurs in it, and no other.
+    """
+    spark = per.sparkSession
+    total = per.agg(F.sum("n")).first()[0] or 1
+    if target is None:
+        shares = per.groupBy("s").agg((F.sum("n") / F.lit(float(total))).alias("share"))
+    else:
+        whole = sum(target.values()) or 1
+        shares = spark.createDataFrame([(s, x / whole) for s, x in target.items()], "s string, share double")
+    # One row per task goes through this window; tasks are few, since each has many tokens or pieces.
+    earlier = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    whole = per.groupBy("task").agg(F.sum("n").alias("n")).select("task", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    own = F.coalesce(F.sum("n").over(Window.partitionBy("s").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = per.withColumn("own", own).join(whole, "task").join(shares, "s", "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
+    return rows.select("task", "s", "share", (F.col("share") * F.col("before") - F.col("own")).alias("deficit"))
+
+
+def packed(
+    documents: DataFrame,
+    key: str,
+    text: str,
+    source: str,
+    capacity: int = CAPACITY,
+    ranks: str = RANKS,
+    target: dict[str, float] | None = None,
+    window: int = WINDOW,
+    tokens_per_task: int = TOKENS_PER_TASK,
+    pieces_per_task: int = PIECES_PER_TASK,
+) -> DataFrame:
     """(key, piece, source, first_token, n_tokens, container): the container of each document, or piece of a longer one.
 
     ``target`` gives the token share of each source, by default that of the whole
@@ -120,36 +165,22 @@ def packed(documents: DataFrame, key: str, text: str, source: str, capacity: int
     tokens; repeated rows are packed once per copy. An empty table gives no rows.
     """
     counts = token_counts(documents, key, text, source, ranks).select(key, F.col(source).cast("string").alias("source"), "n_tokens")
-    pieces = materialise(pieces_of(counts, key, "source", capacity), "pieces")
-    named = F.coalesce("source", F.lit("\0null"))
-    shares = {r["s"]: r["n"] for r in pieces.groupBy(named.alias("s")).agg(F.sum("size").alias("n")).toLocalIterator()} if target is None else dict(target)
-    total = sum(shares.values()) or 1
-    shares = {s: n / total for s, n in shares.items()}
-    tokens = pieces.agg(F.sum("size")).first()[0] or 0
-    tasks = max(1, -(-tokens // tokens_per_task))
-    spread = pieces.withColumn("task", F.pmod(F.xxhash64(F.col(key), F.col("piece")), F.lit(tasks)).cast("int"))
-    # What all earlier tasks leave each source: its share of their tokens, less its own.
-    per = spread.groupBy("task", named.alias("s")).agg(F.sum("size").alias("n"))
-    grid = spread.sparkSession.range(tasks).select(F.col("id").cast("int").alias("task")).join(per, "task", "left")
-    by_task = grid.groupBy("task").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.map_from_entries(F.collect_list(F.when(F.col("s").isNotNull(), F.struct("s", "n")))).alias("own"))
-    cells = by_task.select("task", "all", F.explode(F.lit(sorted(shares)) if shares else F.array().cast("array<string>")).alias("s"), "own")
-    cells = cells.select("task", "s", (F.lit(0.0) + F.col("all")).alias("all"), F.coalesce(F.col("own")[F.col("s")], F.lit(0)).alias("n"))
-    before = Window.partitionBy("s").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    carried = cells.select("task", "s", F.coalesce(F.sum("all").over(before), F.lit(0.0)).alias("all"), F.coalesce(F.sum("n").over(before), F.lit(0)).cast("double").alias("n"))
+    pieces = materialise(pieces_of(counts, key, "source", capacity).withColumn("n", F.monotonically_increasing_id()), "pieces")
+    size = pieces.agg(F.sum("size").alias("tokens"), F.count(F.lit(1)).alias("pieces")).first()
+    tasks = max(1, -(-(size["tokens"] or 0) // tokens_per_task), -(-size["pieces"] // pieces_per_task))
+    slim = pieces.select(F.pmod(F.xxhash64("n"), F.lit(tasks)).cast("int").alias("task"), "n", F.xxhash64("n", F.lit(1)).alias("h"), F.coalesce("source", F.lit("\0null")).alias("s"), "size")
+    debts = materialise(carried_deficits(slim.groupBy("task", "s").agg(F.sum("size").alias("n")), target), "deficits")
 
     def run(ids: tuple, items: pd.DataFrame, debts: pd.DataFrame) -> pd.DataFrame:
         if not len(items):
             return pd.DataFrame({"n": [], "container": []}).astype("int64")
         items = items.sort_values(["h", "n"], ignore_index=True)
-        deficits = {s: shares.get(s, 0.0) * a - n for s, a, n in zip(debts["s"], debts["all"], debts["n"])}
-        names = items["source"].where(items["source"].notna(), "\0null").tolist()
-        found = pack(items["size"].tolist(), names, deficits, shares, capacity, window)
+        deficits, shares = dict(zip(debts["s"], debts["deficit"])), dict(zip(debts["s"], debts["share"]))
+        found = pack(items["size"].tolist(), items["s"].tolist(), deficits, shares, capacity, window)
         return pd.DataFrame({"n": items["n"], "container": [int(ids[0]) * 2**32 + c for c in found]})
 
-    numbered = materialise(spread.withColumn("n", F.monotonically_increasing_id()), "numbered")
-    slim = numbered.select("task", "n", F.xxhash64("n").alias("h"), "source", "size")
-    placed = slim.groupBy("task").cogroup(carried.groupBy("task")).applyInPandas(run, "n long, container long")
-    return numbered.join(placed, "n").select(key, "piece", F.col("source").alias(source), "first_token", F.col("size").alias("n_tokens"), "container")
+    placed = slim.groupBy("task").cogroup(debts.groupBy("task")).applyInPandas(run, "n long, container long")
+    return pieces.join(placed, "n").select(key, "piece", F.col("source").alias(source), "first_token", F.col("size").alias("n_tokens"), "container")
 
 
 def packed_documents(documents: DataFrame) -> DataFrame:

@@ -15,9 +15,10 @@ from kenmark.llm.cells import CellIndex, known_rows
 from kenmark.llm.eliteness import distinctive_terms, fit
 from kenmark.llm.groups import components
 from kenmark.llm.lookalikes import Canon, Trie, by_table, readings, same_reading_pairs
-from kenmark.llm.packing import fill_window, pack, packed
+from kenmark.llm.packing import carried_deficits, fill_window, pack, packed
 from kenmark.llm.queries import queries
 from kenmark.llm.setjoin import linked_records, similar_classes, similar_pairs
+from kenmark.plans.scratch import new_path
 
 # Consolidating matches into groups.
 
@@ -131,13 +132,37 @@ def test_known_rows_against_brute_force(spark):
 
 def test_split_cells_lose_nothing(spark):
     rows = spark.range(400).select(F.lit(None).cast("string").alias("own_hash"), F.lit(0).alias("batch"), F.lit(1).cast("long").alias("f0"), F.col("id").alias("f1"))
-    index = CellIndex(spark, [[0], [1]], 2, 1, {})
-    index.hot = {index.entries(rows).where("space = 0").first().cell: 3}
-    part = index.append(rows)
+    index = CellIndex(spark, [[0], [1]], 2, 1, new_path(spark, "index"))
+    part = index.append(rows, {index.entries(rows).where("space = 0").first().cell: 3})
     asked = spark.createDataFrame([(1, None, 1, 1, 999), (2, None, 1, 2, 999), (3, None, 1, 2, 5)], "row long, own_hash string, batch int, f0 long, f1 long")
     assert {r.row for r in index.probe(asked, part).collect()} == {1, 3}
 
 
+def test_an_index_is_opened_in_a_later_session(spark, tmp_path):
+    path, vector = str(tmp_path / "index"), [F.col("v")[i].alias(f"f{i}") for i in range(4)]
+    rows = lambda data: spark.createDataFrame(data, "b int, id string, hash string, v array<long>")
+    history = rows([(0, f"h{i}", f"{i}", [i, i, i, i]) for i in range(50)])
+    built = CellIndex.build(history, "hash", vector, 1, path)
+    built.close()
+    # Nothing but the path goes on.
+    opened = CellIndex.open(spark.newSession(), path)
+    one = rows([(1, "near", None, [3, 3, 3, 9]), (1, "same", "7", [0, 1, 2, 3]), (1, "new", "x", [90, 91, 92, 93])])
+    found, _ = known_rows(opened, one, "b", "hash", vector, ["id"])
+    assert {r.id for r in found.collect()} == {"near", "same"}
+    opened.close()
+    again = CellIndex.open(spark, path)
+    assert len(again.parts) == 2
+    two = rows([(2, "x again", "x", [1, 2, 3, 4]), (2, "near new", None, [90, 91, 92, 0]), (2, "other", None, [90, 91, 0, 0])])
+    assert {r.id for r in known_rows(again, two, "b", "hash", vector, ["id"])[0].collect()} == {"x again", "near new"}
+    again.compact()
+    last = CellIndex.open(spark, path)
+    assert len(last.parts) == 1 and last.parts[0].rows.where("space = 0").count() == 52
+    three = rows([(3, "other again", None, [90, 91, 0, 1]), (3, "old", "49", [7, 8, 9, 10]), (3, "none", None, [None, 1, 2, 3])])
+    assert {r.id for r in known_rows(last, three, "b", "hash", vector, ["id"])[0].collect()} == {"other again", "old"}
+    with pytest.raises(FileNotFoundError):
+        CellIndex.open(spark, str(tmp_path / "nothing"))
+
+
 # How distinctive a term is.
 
 
@@ -269,6 +294,31 @@ def test_packed_documents(spark):
     assert packed(df.limit(0), "doc", "text", "src").count() == 0
 
 
+def test_shares_hold_across_tasks_and_hot_keys_spread(spark):
+    rng = random.Random(9)
+    # One key and one source for most rows, very many empty texts.
+    rows = [(1, "word " * rng.randrange(1, 300), "a" if rng.random() < 0.75 else "b") for _ in range(1500)] + [(1, "", "a")] * 3000
+    df = spark.createDataFrame(rows, "doc long, text string, src string")
+    got = packed(df, "doc", "text", "src", window=8, tokens_per_task=10**9, pieces_per_task=900).toPandas()
+    assert len(got) == len(rows) and got.groupby("container").n_tokens.sum().max() <= 2048
+    per_task = got.groupby(got.container // 2**32).size()
+    assert len(per_task) == 5 and per_task.max() < 1200
+    target = got[got.src == "a"].n_tokens.sum() / got.n_tokens.sum()
+    for task, own in got.groupby(got.container // 2**32):
+        windows = own.groupby(own.container % 2**32 // 8)
+        for w, part in windows:
+            if w < own.container.max() % 2**32 // 8 - 1:
+                assert abs(part[part.src == "a"].n_tokens.sum() / part.n_tokens.sum() - target) < 0.12, (task, w)
+
+
+def test_deficits_are_what_earlier_tasks_leave(spark):
+    per = spark.createDataFrame([(0, "a", 90), (0, "b", 10), (1, "b", 50), (2, "a", 60), (2, "b", 40), (2, "c", 50)], "task int, s string, n long")
+    got = {(r.task, r.s): (round(r.share, 6), round(r.deficit, 6)) for r in carried_deficits(per).collect()}
+    assert got == {(0, "a"): (0.5, 0), (0, "b"): (0.333333, 0), (1, "b"): (0.333333, 23.333333), (2, "a"): (0.5, -15), (2, "b"): (0.333333, -10), (2, "c"): (0.166667, 25)}
+    given = {(r.task, r.s): r.deficit for r in carried_deficits(per, {"a": 1, "b": 3}).collect()}
+    assert given[1, "b"] == 65 and given[2, "a"] == -52.5 and given[2, "c"] == 0
+
+
 def test_queries_run(spark, tables):
     for name, query in queries().items():
         assert query(spark, tables).count() > 0, name

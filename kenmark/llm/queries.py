@@ -5,11 +5,12 @@ from __future__ import annotations
 import unicodedata
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kenmark.functions.text import WHITE_SPACE
 from kenmark.llm.cells import NUMBER_TEXT, VOLATILE, known_snapshots
-from kenmark.llm.eliteness import shared_rare_terms
+from kenmark.llm.eliteness import ROUNDS, profile_scores, shared_rare_terms
 from kenmark.llm.groups import device_groups
 from kenmark.llm.leaks import leaked_spans
 from kenmark.llm.lookalikes import IGNORABLE, LATIN_FOR, PUNCTUATION, SPACES, readings, same_reading_pairs
@@ -23,6 +24,12 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return shared_rare_terms(table(spark, folder, "profiles")).select("profile_id", "field", "term")
 
 
+def p2_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Every term of every profile with what the mixture makes of its count."""
+    scored = profile_scores(table(spark, folder, "profiles"))
+    return scored.select("profile_id", "field", "term", "tf", *(F.round(c, 4).alias(c) for c in ("posterior", "score")))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return known_snapshots(table(spark, folder, "snapshots"), table(spark, folder, "incoming"))
 
@@ -60,20 +67,45 @@ def p10_readings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p6_linked": p6_linked, "p7_found": p7_found, "p8_packed": p8_packed, "p9_found": p9_found, "p10_found": p10_found, "p10_readings": p10_readings}
+    return {"p2_found": p2_found, "p2_scores": p2_scores, "p3_found": p3_found, "p6_found": p6_found, "p6_linked": p6_linked, "p7_found": p7_found, "p8_packed": p8_packed, "p9_found": p9_found, "p10_found": p10_found, "p10_readings": p10_readings}
 
 
 _STRIP = f"trim(x, '{WHITE_SPACE}')"
 
-P2_SQL = f"""
-WITH terms AS (
+_TERMS = f"""terms AS (
   SELECT profile_id, device_label, 'fonts' AS field, unnest(list_transform(fingerprint.fonts, lambda x: lower({_STRIP}))) AS term FROM profiles
   UNION ALL SELECT profile_id, device_label, 'platform', lower(trim(fingerprint.platform, '{WHITE_SPACE}')) FROM profiles
   UNION ALL SELECT profile_id, device_label, 'userAgent', unnest(regexp_split_to_array(lower(trim(fingerprint.userAgent, '{WHITE_SPACE}')), '\\s+')) FROM profiles
-), few AS (SELECT field, term FROM terms WHERE term <> '' GROUP BY ALL HAVING count(DISTINCT device_label) BETWEEN 2 AND 6)
+)"""
+P2_SQL = f"""
+WITH {_TERMS}, few AS (SELECT field, term FROM terms WHERE term <> '' GROUP BY ALL HAVING count(DISTINCT device_label) BETWEEN 2 AND 6)
 SELECT DISTINCT profile_id, field, term FROM terms JOIN few USING (field, term)
 """
 
+
+def _elite(k: str) -> str:
+    return f"1 / (1 + exp(-greatest(-500::DOUBLE, least(500::DOUBLE, ln(share) - ln(1 - share) + {k} * (ln(high) - ln(low)) - (high - low)))))"
+
+
+P2_SCORES_SQL = f"""
+WITH RECURSIVE {_TERMS}, counted AS MATERIALIZED (
+  SELECT profile_id, field, term, count(*) AS tf FROM terms WHERE term <> '' AND profile_id IS NOT NULL GROUP BY profile_id, device_label, field, term
+), hist AS MATERIALIZED (SELECT field, term, tf, count(*)::DOUBLE AS n FROM counted GROUP BY ALL
+), size AS (SELECT count(DISTINCT profile_id)::DOUBLE AS total FROM profiles
+), base AS MATERIALIZED (SELECT field, term, sum(n) AS holders, sum(n * tf) AS mass, any_value(total) AS total FROM hist, size GROUP BY ALL
+), fits AS (
+  SELECT 0 AS step, field, term, greatest(1e-9, least(0.5::DOUBLE, holders / total)) AS share, mass / holders * 1.2::DOUBLE AS high, greatest(mass / total * 0.02::DOUBLE, 1e-9) AS low FROM base
+  UNION ALL SELECT step + 1, field, term, CASE WHEN l > h THEN 1 - s ELSE s END, greatest(h, l), least(h, l) FROM (
+    SELECT step, field, term, greatest(1e-9, least(1 - 1e-9, weight / total)) AS s, greatest(elite_mass / greatest(weight, 1e-12), 1e-9) AS h, greatest((mass - elite_mass) / greatest(total - weight, 1e-12), 1e-9) AS l FROM (
+      SELECT step, field, term, sum(n * elite) + any_value(greatest(total - holders, 0) * elite0) AS weight, sum(n * tf * elite) AS elite_mass, any_value(mass) AS mass, any_value(total) AS total FROM (
+        SELECT step, field, term, n, tf, mass, total, holders, {_elite("tf")} AS elite, {_elite("0")} AS elite0 FROM fits JOIN base USING (field, term) JOIN hist USING (field, term) WHERE step < {ROUNDS}
+      ) GROUP BY step, field, term
+    )
+  )
+), last AS MATERIALIZED (SELECT field, term, tf, {_elite("tf")} AS posterior, share, total FROM fits JOIN base USING (field, term) JOIN hist USING (field, term) WHERE step = {ROUNDS})
+SELECT profile_id, field, term, tf, round(posterior, 4) AS posterior, round(posterior * greatest(-ln(share), 0) / ln(greatest(total, 2)), 4) AS score FROM counted JOIN last USING (field, term, tf)
+"""
+
 P9_SQL = """
 WITH words AS (
   SELECT 'd' AS kind, doc_id AS id, list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda x: lower(x)) AS w FROM documents
@@ -176,4 +208,4 @@ SELECT doc_id, reading, n_spellings, n - own AS n_links FROM seen JOIN texts USI
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_SQL, "p3_found": _known_sql(), "p6_found": P6_SQL, "p6_linked": P6_LINKED_SQL, "p7_found": P7_SQL, "p9_found": P9_SQL, "p10_found": P10_SQL, "p10_readings": P10_READINGS_SQL}
+    return {"p2_found": P2_SQL, "p2_scores": P2_SCORES_SQL, "p3_found": _known_sql(), "p6_found": P6_SQL, "p6_linked": P6_LINKED_SQL, "p7_found": P7_SQL, "p9_found": P9_SQL, "p10_found": P10_SQL, "p10_readings": P10_READINGS_SQL}

@@ -64,11 +64,11 @@ def signature_udf(hashes: int) -> Callable[[Column], Column]:
     return signature
 
 
-def band_table(df: DataFrame, key: str, token_column: str, hashes: int = HASHES, bands: int = BANDS) -> DataFrame:
-    """(key, band, bucket) of every record with tokens. Records of equal token sets are hashed once per set."""
+def band_table(df: DataFrame, key: str, token_column: str, hashes: int = HASHES, bands: int = BANDS, bucket: Callable[..., Column] = F.xxhash64) -> DataFrame:
+    """(key, band, bucket) of every record with tokens; ``bucket`` hashes the band's number and its part of the signature."""
     if hashes % bands:
         raise ValueError(f"{hashes} hashes can't be divided into {bands} bands")
     rows = hashes // bands
     signed = df.where(F.size(token_column) > 0).select(key, signature_udf(hashes)(F.col(token_column)).alias("_signature"))
-    cut = F.array(*(F.struct(F.lit(b).alias("band"), F.xxhash64(F.lit(b), F.slice("_signature", b * rows + 1, rows)).alias("bucket")) for b in range(bands)))
+    cut = F.array(*(F.struct(F.lit(b).alias("band"), bucket(F.lit(b), F.slice("_signature", b * rows + 1, rows)).alias("bucket")) for b in range(bands)))
     return signed.select(key, F.explode(cut).alias("_b")).select(key, "_b.band", "_b.bucket").distinct()

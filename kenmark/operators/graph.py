@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kenmark.functions.similarity import jaccard, subnet
@@ -43,6 +43,28 @@ def fold_edges(observations: DataFrame) -> DataFrame:
     )
 
 
+def merge_edges(edges: DataFrame) -> DataFrame:
+    """One edge per pair from rows that are edges themselves, ends in any order: device_id_a, device_id_b, weight, reasons, first_seen, last_seen, occurrences.
+
+    The row first seen, ties by weight, sets the weight and each further one adds half of
+    its own, up to 0.97; reasons are united and occurrences added up. Self links and rows
+    with a null end or weight don't count; a row without occurrences stands for one.
+    """
+    rows = edges.where("device_id_a <> device_id_b and weight is not null").select(
+        F.least("device_id_a", "device_id_b").alias("device_id_a"), F.greatest("device_id_a", "device_id_b").alias("device_id_b"), "weight", "reasons", "first_seen", "last_seen", "occurrences"
+    )
+    first = F.min(F.struct("first_seen", "weight"))["weight"]
+    exact = lambda w: F.round(w * 1_000_000_000).cast("long")
+    more = (F.sum(exact(F.col("weight"))) - exact(first)) / 1_000_000_000 * REPEATED
+    return rows.groupBy("device_id_a", "device_id_b").agg(
+        F.least(F.lit(MOST), F.least(F.lit(MOST), first) + more).alias("weight"),
+        F.array_sort(F.array_compact(F.array_distinct(F.flatten(F.collect_set("reasons"))))).alias("reasons"),
+        F.min("first_seen").alias("first_seen"),
+        F.max("last_seen").alias("last_seen"),
+        F.sum(F.coalesce("occurrences", F.lit(1))).cast("int").alias("occurrences"),
+    )
+
+
 def subnet_meetings(snapshots: DataFrame, peers: int = SUBNET_PEERS) -> DataFrame:
     """Pairs of devices (a, b) in order that met ``n`` times in a /24, ``first`` and ``last`` in microseconds.
 
@@ -149,12 +171,12 @@ def edge(edges: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def related(edges: DataFrame) -> DataFrame:
-    """Every device with its neighbours, heaviest first by ``place``: filter on device_id for one device."""
+    """Every device with its neighbours, ``place`` 1 for the heaviest, ties by id: filter on device_id for one device."""
     rest = ["weight", "reasons", "last_seen", "occurrences"]
     both = edges.select(F.col("device_id_a").alias("device_id"), F.col("device_id_b").alias("related_id"), *rest).unionByName(
         edges.select(F.col("device_id_b").alias("device_id"), F.col("device_id_a").alias("related_id"), *rest)
     )
-    return both
+    return both.withColumn("place", F.row_number().over(Window.partitionBy("device_id").orderBy(F.desc("weight"), "related_id")))
 
 
 def stale(edges: DataFrame, now: Column, most_age_ms: int) -> Column:

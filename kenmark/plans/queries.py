@@ -21,7 +21,7 @@ from kenmark.operators import store as stores
 from kenmark.operators.attractor import attractor_risk, frequency_model
 from kenmark.operators.heavy import latest_snapshots
 from kenmark.operators.history import FOLLOWED_TEXT, fingerprint_history
-from kenmark.operators.nested import payload_children
+from kenmark.operators.nested import ENVELOPE, payload_children
 from kenmark.operators.scoring import canonical_fingerprint, dimension_weights, richness, score_pairs
 from kenmark.plans import sql
 from kenmark.schema import FIELDS, SCORES
@@ -117,7 +117,29 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint_history(table(spark, folder, "snapshots")).select("device_id", "snapshot_id")
 
 
-@query("p4_found")
+def _payload_sql() -> str:
+    """JSON text opened, envelopes taken off and both spellings of names tried, level by level."""
+    opened = lambda x: f"(CASE WHEN json_type({x}) = 'VARCHAR' AND json_valid({x} ->> '$') AND left(ltrim({x} ->> '$'), 1) IN ('{{', '[') THEN ({x} ->> '$')::JSON ELSE {x} END)"
+    step = lambda j, kinds: f"(CASE WHEN json_type({j}) = 'OBJECT' THEN coalesce({', '.join(f'''CASE WHEN json_type({opened(f'''json_extract({j}, '$.{n}')''')}) IN ({kinds}) THEN {opened(f'''json_extract({j}, '$.{n}')''')} END''' for n in ENVELOPE)}, {j}) ELSE {j} END)"
+    either = lambda r, *names: "coalesce(" + ", ".join(f"CASE WHEN json_type(json_extract({r}, '$.{n}')) <> 'NULL' THEN json_extract({r}, '$.{n}') END" for n in names) + ")"
+    whole, single = "'OBJECT', 'ARRAY'", "'OBJECT'"
+    ctes = ["t0 AS (SELECT payload_id, body::JSON AS j FROM payloads WHERE json_valid(body))", f"t1 AS (SELECT payload_id, {opened('j')} AS j FROM t0)"]
+    ctes += [f"t{i + 1} AS MATERIALIZED (SELECT payload_id, {step('j', whole)} AS j FROM t{i})" for i in range(1, 4)]
+    ctes.append("r0 AS (SELECT payload_id, unnest(range(len(l))) AS rec, unnest(l) AS j FROM (SELECT payload_id, CASE WHEN json_type(j) = 'ARRAY' THEN json_extract(j, '$[*]') ELSE [j] END AS l FROM t4))")
+    ctes.append(f"r1 AS (SELECT payload_id, rec, {opened('j')} AS j FROM r0)")
+    ctes += [f"r{i + 1} AS MATERIALIZED (SELECT payload_id, rec, {step('j', single)} AS j FROM r{i})" for i in range(1, 3)]
+    ctes.append("records AS MATERIALIZED (SELECT payload_id, rec, j FROM r3 WHERE json_type(j) = 'OBJECT')")
+    ctes.append(f"parts AS MATERIALIZED (SELECT payload_id, rec, {opened(either('j', 'highEntropyValues', 'high_entropy_values'))} AS hev, {opened(either('j', 'screen'))} AS screen, {opened(either('j', 'behavioralMetrics', 'behavioral_metrics'))} AS b FROM records)")
+    one = {"highEntropyValues": "hev", "screen": "screen", "orientation": opened("json_extract(screen, '$.orientation')")} | {n: opened(f"json_extract(b, '$.{n}')") for n in ("mouse", "keyboard", "scroll", "session")}
+    ctes.append("objects AS (" + " UNION ALL ".join(f"SELECT payload_id, rec, '{n}' AS child, {x} AS o FROM parts" for n, x in one.items()) + ")")
+    ctes.append(f"listed AS (SELECT payload_id, rec, {opened(either('hev', 'brands'))} AS l FROM parts WHERE json_type(hev) = 'OBJECT')")
+    ctes.append("entries AS (SELECT payload_id, rec, unnest(range(len(e))) AS pos, unnest(e) AS e FROM (SELECT payload_id, rec, CASE WHEN json_type(l) = 'ARRAY' THEN json_extract(l, '$[*]') ELSE [l] END AS e FROM listed WHERE l IS NOT NULL))")
+    ctes.append(f"brands AS (SELECT payload_id, rec, pos, CASE WHEN json_type({opened('e')}) = 'OBJECT' THEN json_extract_string({opened('e')}, '$.brand') WHEN json_type(e) <> 'NULL' THEN e ->> '$' END AS item FROM entries)")
+    filled = "len(list_filter(json_extract(o, '$.*'), lambda v: json_type(v) <> 'NULL' AND v::VARCHAR NOT IN ('{}', '[]', '\"{}\"', '\"[]\"'))) > 0"
+    return f"WITH {', '.join(ctes)} SELECT payload_id, rec::INT AS rec, child, 0 AS pos, '' AS item FROM objects WHERE json_type(o) = 'OBJECT' AND {filled} UNION ALL SELECT payload_id, rec::INT, 'brands', pos::INT, item FROM brands WHERE item IS NOT NULL"
+
+
+@query("p4_found", _payload_sql())
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return payload_children(table(spark, folder, "payloads"))
 
@@ -280,10 +302,10 @@ def device_user_link(spark: SparkSession, folder: str) -> DataFrame:
     return stores.device_users(table(spark, folder, "snapshots"))
 
 
-@query("record_decode", "SELECT payload_id, json_type(body) AS kind FROM payloads WHERE json_valid(body)")
+@query("record_decode", "SELECT payload_id, CASE WHEN json_type(body) IN ('OBJECT', 'ARRAY') THEN json_type(body) ELSE 'SCALAR' END AS kind FROM payloads WHERE json_valid(body)")
 def record_decode(spark: SparkSession, folder: str) -> DataFrame:
     parsed = table(spark, folder, "payloads").select("payload_id", F.try_parse_json("body").alias("v")).where("v is not null")
-    kind = F.when(F.schema_of_variant("v").startswith("ARRAY"), "ARRAY").otherwise("OBJECT")
+    kind = F.when(F.schema_of_variant("v").startswith("ARRAY"), "ARRAY").when(F.schema_of_variant("v").startswith("OBJECT"), "OBJECT").otherwise("SCALAR")
     return parsed.select("payload_id", kind.alias("kind"))
 
 
@@ -389,18 +411,26 @@ def lsh_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "snapshots").select("snapshot_id", "received_at", F.md5(listed).alias("tokens"))
 
 
-@query("minhash_bands")
+@query("minhash_bands", f"WITH {_HELD}, {sql.bands('held', 'device_id', 'h', 'bands')} SELECT device_id, band, md5(band || ':' || rows) AS bucket FROM bands")
 def minhash_bands(spark: SparkSession, folder: str) -> DataFrame:
     held = identification.store_of(table(spark, folder, "snapshots"))
-    return band_table(held.select("device_id", tokens(F.col("h")).alias("_t")), "device_id", "_t")
+    named = lambda band, rows: F.md5(F.concat_ws(":", band, F.array_join(rows.cast("array<string>"), ",")))
+    return band_table(held.select("device_id", tokens(F.col("h")).alias("_t")), "device_id", "_t", bucket=named)
 
 
-@query("lsh_candidates")
+_SHARED = f"WITH {_ASKED}, {_HELD}, {sql.bands('asked', 'query_id', 'q', 'qb')}, {sql.bands('held', 'device_id', 'h', 'hb')}, shared AS MATERIALIZED (SELECT DISTINCT query_id, device_id FROM qb JOIN hb USING (band, rows))"
+
+
+@query("lsh_candidates", f"{_SHARED} SELECT query_id, device_id FROM shared")
 def lsh_candidates(spark: SparkSession, folder: str) -> DataFrame:
     return blocking.shared_bands(identification.queries_of(search_set(spark, folder)), identification.store_of(table(spark, folder, "snapshots")))
 
 
-@query("lsh_extra_anti")
+@query(
+    "lsh_extra_anti",
+    _pool("any_key").rstrip() + f", {sql.bands('asked', 'query_id', 'q', 'qb')}, {sql.bands('held', 'device_id', 'h', 'hb')}, shared AS (SELECT DISTINCT query_id, device_id FROM qb JOIN hb USING (band, rows)) "
+    "SELECT query_id, device_id FROM shared ANTI JOIN (SELECT query_id, device_id FROM ranked WHERE place <= 100) USING (query_id, device_id)",
+)
 def lsh_extra_anti(spark: SparkSession, folder: str) -> DataFrame:
     found = blocking.candidates(identification.queries_of(search_set(spark, folder)).select("query_id", "q"), identification.store_of(table(spark, folder, "snapshots")), limit=100, options=PLAIN)
     return lsh_candidates(spark, folder).join(found, ["query_id", "device_id"], "left_anti")
@@ -443,7 +473,13 @@ def identify_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return identification.identify_metrics(identified(spark, folder))
 
 
-@query("dedup_window")
+@query(
+    "dedup_window",
+    "WITH RECURSIVE times AS MATERIALIZED (SELECT DISTINCT signals_hash AS h, epoch_us(ts) // 1000 AS ms FROM snapshots WHERE signals_hash IS NOT NULL AND ts IS NOT NULL), "
+    f"opens AS (SELECT h, min(ms) AS o FROM times GROUP BY h UNION ALL SELECT t.h, min(t.ms) FROM opens p JOIN times t ON t.h = p.h AND t.ms >= p.o + {sim.DAY_MS} GROUP BY t.h, p.o), "
+    "opened AS (SELECT t.h, t.ms, max(o) AS o FROM times t JOIN opens p ON t.h = p.h AND p.o <= t.ms GROUP BY t.h, t.ms) "
+    "SELECT snapshot_id, signals_hash, ts, coalesce(o, epoch_us(ts) // 1000) AS opened_ms FROM snapshots LEFT JOIN opened ON h = signals_hash AND ms = epoch_us(ts) // 1000",
+)
 def dedup_window(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "snapshots").select("snapshot_id", "signals_hash", "ts")
     return identification.within_window(rows, "signals_hash", "ts", sim.DAY_MS)
@@ -454,11 +490,8 @@ def dedup_window(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "subnet_edges",
-    "WITH nets AS (SELECT regexp_extract(ip, '^(\\d+\\.\\d+\\.\\d+)\\.\\d+$', 1) AS net, device_id, ts FROM snapshots WHERE device_id IS NOT NULL AND ip IS NOT NULL), "
-    "seen AS (SELECT net, device_id, min(ts) AS seen_at FROM nets WHERE net <> '' GROUP BY net, device_id), "
-    "numbered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY net ORDER BY seen_at, device_id) AS n FROM seen), "
-    "met AS (SELECT least(a.device_id, b.device_id) AS device_id_a, greatest(a.device_id, b.device_id) AS device_id_b, a.seen_at FROM numbered a JOIN numbered b ON a.net = b.net AND b.n BETWEEN a.n - 200 AND a.n - 1) "
-    "SELECT device_id_a, device_id_b, round(least(0.97::DOUBLE, 0.4::DOUBLE + 0.2::DOUBLE * (count(*) - 1)), 9) AS weight, min(seen_at) AS first_seen, max(seen_at) AS last_seen, count(*)::INT AS occurrences FROM met GROUP BY ALL",
+    f"WITH RECURSIVE {sql.subnet_visits()} SELECT least(a, b) AS device_id_a, greatest(a, b) AS device_id_b, round(least(0.97::DOUBLE, 0.4::DOUBLE + 0.2::DOUBLE * (count(*) - 1)), 9) AS weight, "
+    "min(ts) AS first_seen, max(ts) AS last_seen, count(*)::INT AS occurrences FROM met WHERE a <> b GROUP BY ALL",
 )
 def subnet_edges(spark: SparkSession, folder: str) -> DataFrame:
     edges = graph.subnet_edges(table(spark, folder, "snapshots"))
@@ -481,15 +514,15 @@ def font_overlap_edges(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def folded_edges(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "edges").where("weight is not null")
-    named = rows.select(normalised(F.col("device_id_a")).alias("a"), normalised(F.col("device_id_b")).alias("b"), "weight", F.get("reasons", F.lit(0)).alias("reason"), F.col("first_seen").alias("seen_at"))
-    return graph.fold_edges(named.where("a <> '' and b <> ''").withColumn("seq", F.struct("seen_at", "weight")))
+    rows = table(spark, folder, "edges")
+    named = rows.withColumns({c: F.when(normalised(F.col(c)) != "", normalised(F.col(c))) for c in ("device_id_a", "device_id_b")})
+    return graph.merge_edges(named)
 
 
 _FOLDED = (
-    f"WITH obs AS (SELECT lower({sql.strip('device_id_a')}) AS a, lower({sql.strip('device_id_b')}) AS b, weight, reasons[1] AS reason, first_seen AS seen_at FROM edges WHERE weight IS NOT NULL), "
-    "folded AS MATERIALIZED (SELECT least(a, b) AS device_id_a, greatest(a, b) AS device_id_b, arg_min(weight, struct_pack(s := seen_at, w := weight)) AS w0, sum(round(weight * 1000000000)::BIGINT) AS ws, min(seen_at) AS first_seen, max(seen_at) AS last_seen, count(*)::INT AS occurrences, "
-    "array_to_string(list_sort(list_distinct(list(reason))), ',') AS reasons FROM obs WHERE a <> '' AND b <> '' AND a <> b GROUP BY ALL), "
+    f"WITH obs AS (SELECT * EXCLUDE (device_id_a, device_id_b), lower({sql.strip('device_id_a')}) AS a, lower({sql.strip('device_id_b')}) AS b FROM edges WHERE weight IS NOT NULL), "
+    "folded AS MATERIALIZED (SELECT least(a, b) AS device_id_a, greatest(a, b) AS device_id_b, arg_min(weight, struct_pack(s := first_seen, w := weight)) AS w0, sum(round(weight * 1000000000)::BIGINT) AS ws, min(first_seen) AS first_seen, max(last_seen) AS last_seen, "
+    "sum(coalesce(occurrences, 1))::INT AS occurrences, array_to_string(list_sort(list_distinct(flatten(list(coalesce(reasons, []))))), ',') AS reasons FROM obs WHERE a <> '' AND b <> '' AND a <> b GROUP BY ALL), "
     "folded2 AS MATERIALIZED (SELECT device_id_a, device_id_b, least(0.97::DOUBLE, least(0.97::DOUBLE, w0) + (ws - round(w0 * 1000000000)::BIGINT) / 1000000000::DOUBLE * 0.5::DOUBLE) AS weight, reasons, first_seen, last_seen, occurrences FROM folded) "
 )
 
@@ -499,9 +532,14 @@ def edges_folded(spark: SparkSession, folder: str) -> DataFrame:
     return folded_edges(spark, folder).withColumns({"weight": F.round("weight", 9), "reasons": F.array_join("reasons", ",")})
 
 
-@query("related_devices", _FOLDED + "SELECT device_id_a AS device_id, device_id_b AS related_id, round(weight, 9) AS weight, occurrences FROM folded2 UNION ALL SELECT device_id_b, device_id_a, round(weight, 9), occurrences FROM folded2")
+@query(
+    "related_devices",
+    _FOLDED + ", ends AS (SELECT device_id_a AS device_id, device_id_b AS related_id, round(weight, 9) AS weight, occurrences FROM folded2 UNION ALL SELECT device_id_b, device_id_a, round(weight, 9), occurrences FROM folded2) "
+    "SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY weight DESC, related_id)::INT AS place FROM ends",
+)
 def related_devices(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.related(folded_edges(spark, folder)).select("device_id", "related_id", F.round("weight", 9).alias("weight"), "occurrences")
+    edges = folded_edges(spark, folder).withColumn("weight", F.round("weight", 9))
+    return graph.related(edges).select("device_id", "related_id", "weight", "occurrences", "place")
 
 
 @query("edge_lookup", _FOLDED + f"SELECT device_id_a, device_id_b, round(weight, 9) AS weight FROM folded2 WHERE device_id_a = '{REPORT_DEVICE}' OR device_id_b = '{REPORT_DEVICE}'")

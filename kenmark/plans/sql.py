@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+from kenmark.functions.minhash import BANDS, HASHES, seeds
 from kenmark.functions.text import WHITE_SPACE
 from kenmark.schema import (
     COMMON_BROWSERS,
@@ -213,16 +214,16 @@ def scores(source: str, left: str, right: str, decay: str = "1::DOUBLE", stabili
     )
 
 
-def history(n: int, source: str = "snapshots") -> str:
-    """CTEs ``once`` (snapshots once each) and ``hist`` (the n newest of each device, with rank)."""
+def history(n: int | None, source: str = "snapshots") -> str:
+    """CTEs ``once`` (snapshots once each) and ``hist`` (all or the n newest of each device, with rank)."""
     return (
         f"once AS MATERIALIZED (SELECT * EXCLUDE k FROM (SELECT *, row_number() OVER (PARTITION BY device_id, snapshot_id ORDER BY received_at) AS k FROM {source} WHERE device_id IS NOT NULL) WHERE k = 1), "
-        f"hist AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY ts DESC, snapshot_id) AS rank FROM once) WHERE rank <= {n})"
+        f"hist AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY ts DESC, snapshot_id) AS rank FROM once) WHERE {f'rank <= {n}' if n else 'true'})"
     )
 
 
-def consecutive(n: int = 5) -> str:
-    """CTE ``pairs``: neighbours among the n newest snapshots of each device, l the newer."""
+def consecutive(n: int | None = None) -> str:
+    """CTE ``pairs``: neighbours among all, or the n newest, snapshots of each device, l the newer."""
     return (
         history(n) + ", pairs AS MATERIALIZED (SELECT a.device_id, a.rank, a.snapshot_id, a.ts, b.ts AS older_ts, a.fingerprint AS l, b.fingerprint AS r "
         "FROM hist a JOIN hist b ON a.device_id = b.device_id AND b.rank = a.rank + 1)"
@@ -244,3 +245,33 @@ def stability(n: int, strict: bool) -> str:
         return f"coalesce(avg(CASE WHEN {both} THEN {whole_similarity(f'l.{f}', f'r.{f}', f)} END), 1) AS \"{f}\""
 
     return consecutive(n) + f", stable AS MATERIALIZED (SELECT device_id, {', '.join(one(i, f) for i, f in enumerate(FIELDS))} FROM pairs GROUP BY device_id)"
+
+
+def subnet_visits(peers: int = 200) -> str:
+    """CTEs up to ``met``: visit after visit of each /24, every visitor meets the devices then listed, first in, first out."""
+    return (
+        "visits AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY net ORDER BY ts, snapshot_id, device_id) AS k FROM (SELECT DISTINCT regexp_extract(ip, '^(\\d+\\.\\d+\\.\\d+)\\.\\d+$', 1) AS net, device_id, ts, snapshot_id FROM snapshots "
+        "WHERE device_id IS NOT NULL AND ip IS NOT NULL AND ts IS NOT NULL) WHERE net <> ''), "
+        "listing(net, k, ts, device_id, found, listed) AS (SELECT net, k, ts, device_id, CAST([] AS VARCHAR[]), [device_id] FROM visits WHERE k = 1 "
+        "UNION ALL SELECT v.net, v.k, v.ts, v.device_id, l.listed, CASE WHEN list_contains(l.listed, v.device_id) THEN l.listed "
+        f"WHEN len(l.listed) >= {peers} THEN list_append(l.listed[2:], v.device_id) ELSE list_append(l.listed, v.device_id) END FROM listing l JOIN visits v ON v.net = l.net AND v.k = l.k + 1), "
+        "met AS (SELECT device_id AS a, unnest(found) AS b, ts FROM listing)"
+    )
+
+
+def bands(source: str, key: str, fp: str, name: str) -> str:
+    """CTEs up to ``name`` (key, band, rows): the MinHash bands of the fingerprints ``fp`` in ``source``, rows being the band's part of the signature."""
+    low = "4294967295::UBIGINT"
+    first = [(int(s) * 0x9E3779B9 % 2**32) ^ 0x811C9DC5 for s in seeds(HASHES)]
+    spread = f"list_reduce(list_transform(string_split(token, ''), lambda c: unicode(c)::UBIGINT), lambda h, u: (xor(h, u) * 16777619::UBIGINT) & {low}, seed)"
+    mixed = f"(xor(h, h >> 16) * 73244475::UBIGINT) & {low}"
+    listed = ", ".join(f"list_transform(list_filter(coalesce({fp}.{f}, []), lambda x: x <> ''), lambda x: '{f[0]}:' || x)" for f in ("fonts", "languages"))
+    return (
+        f"{name}_held AS MATERIALIZED (SELECT DISTINCT {key}, unnest(list_concat({listed})) AS token FROM {source}), "
+        f"{name}_seeds AS (SELECT unnest({first})::UBIGINT AS seed, unnest(range({HASHES})) AS i), "
+        f"{name}_h AS (SELECT token, i, {spread} AS h FROM (SELECT DISTINCT token FROM {name}_held), {name}_seeds), "
+        f"{name}_m AS (SELECT token, i, {mixed} AS h FROM {name}_h), "
+        f"{name}_s AS MATERIALIZED (SELECT token, i, xor(h, h >> 16)::BIGINT AS v FROM {name}_m), "
+        f"{name}_sig AS (SELECT {key}, i, min(CASE WHEN v >= 2147483648 THEN v - 4294967296 ELSE v END) AS v FROM {name}_held JOIN {name}_s USING (token) GROUP BY ALL), "
+        f"{name} AS MATERIALIZED (SELECT {key}, (i // {HASHES // BANDS})::INT AS band, string_agg(v::VARCHAR, ',' ORDER BY i) AS rows FROM {name}_sig GROUP BY ALL)"
+    )

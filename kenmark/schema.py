@@ -51,7 +51,34 @@ VOLATILE = "behavioralMetrics"
 FIELDS = [f.name for f in FINGERPRINT.fields if f.name != VOLATILE]
 
 # Base weight of every scored field, in field order.
-WEIGHTS = dict(zip(FIELDS, [10, 20, 10, 15, 20, 5, 5, 5, 5, 5, 5, 5, 5, 5, 5, 5, 5, 5, 15, 15, 10, 15, 30, 25, 25, 20]))
+WEIGHTS = {
+    "userAgent": 10,
+    "platform": 20,
+    "timezone": 10,
+    "language": 15,
+    "languages": 20,
+    "cookieEnabled": 5,
+    "doNotTrack": 5,
+    "hardwareConcurrency": 5,
+    "deviceMemory": 5,
+    "product": 5,
+    "productSub": 5,
+    "vendor": 5,
+    "vendorSub": 5,
+    "appName": 5,
+    "appVersion": 5,
+    "appCodeName": 5,
+    "appMinorVersion": 5,
+    "buildID": 5,
+    "plugins": 15,
+    "mimeTypes": 15,
+    "screen": 10,
+    "fonts": 15,
+    "canvas": 30,
+    "webgl": 25,
+    "audio": 25,
+    "highEntropyValues": 20,
+}
 #: Weight of every other path, such as screen.width.
 DEFAULT_WEIGHT = 5.0
 

@@ -1,7 +1,8 @@
 """Identification: find the device of each query, or name a new one.
 
-All queries are scored against the store as it is (mode A); queries of a batch don't see
-each other. New ids derive from the query id, so that a repeated batch gives the same ids.
+All queries are scored against the store as it is; queries of a batch don't see each other
+(``DeviceManager.identify_in_order`` is the way in which they do). New ids derive from the
+query id, so that a repeated batch gives the same ids.
 """
 
 from __future__ import annotations
@@ -51,26 +52,37 @@ def identify(incoming: DataFrame, snapshots: DataFrame, options: IdentifyOptions
     history and with the age of its newest snapshot. The best one is taken if its score is
     above the threshold, ties by the candidate's place.
     """
+    return identify_with_candidates(incoming, snapshots, options)[0]
+
+
+def identify_with_candidates(incoming: DataFrame, snapshots: DataFrame, options: IdentifyOptions | None = None) -> tuple[DataFrame, DataFrame]:
+    """What ``identify`` gives, and (query_id, device_id, confidence) of all candidates."""
     options = options or IdentifyOptions()
     queries, store = queries_of(incoming), store_of(snapshots)
     found = candidates(queries.select("query_id", "q"), store, options.strategy, options.candidate_least, options.candidate_limit, options.scoring)
     if options.use_lsh:
         found = with_extra(found, shared_bands(queries, store))
-    stabilities = stability_map(field_stability(snapshots, options.stability_window))
-    pairs = found.select("query_id", "device_id", F.col("confidence").alias("first_confidence")).join(queries, "query_id").join(store, "device_id").join(stabilities, "device_id", "left")
+    found = materialise(found.select("query_id", "device_id", "confidence"), "candidates")
+    # Of the store only the candidates' snapshots are read further.
+    chosen = found.select("device_id").distinct()
+    past = snapshots.join(chosen, "device_id", "left_semi")
+    stabilities = stability_map(field_stability(past, options.stability_window))
+    newest = store_of(past)
+    pairs = found.select("query_id", "device_id", F.col("confidence").alias("first_confidence")).join(queries, "query_id").join(newest, "device_id").join(stabilities, "device_id", "left")
     scoring = replace(options.scoring, age=age_ms(F.col("query_ts"), F.col("ts")), field_stabilities=F.col("stabilities"))
     rescored = score_pairs(materialise(pairs, "pairs"), "q", "h", scoring)
     order = Window.partitionBy("query_id").orderBy(F.desc("composite"), F.desc("first_confidence"), "device_id")
     best = rescored.withColumn("_n", F.row_number().over(order)).withColumn("candidates", F.count(F.lit(1)).over(Window.partitionBy("query_id"))).where("_n = 1")
     best = best.select("query_id", F.col("device_id").alias("_found"), "composite", "candidates")
     matched = F.coalesce(F.col("composite") > options.match_threshold, F.lit(False))
-    return queries.select("query_id").join(best, "query_id", "left").select(
+    results = queries.select("query_id").join(best, "query_id", "left").select(
         "query_id",
         F.when(matched, F.col("_found")).otherwise(F.concat(F.lit("dev_"), F.sha2("query_id", 256))).alias("device_id"),
         F.coalesce("composite", F.lit(0)).alias("confidence"),
         (~matched).alias("is_new_device"),
         F.coalesce("candidates", F.lit(0)).cast("int").alias("candidates"),
     )
+    return results, found
 
 
 def within_window(rows: DataFrame, digest: str, ts: str, window_ms: int) -> DataFrame:
@@ -103,13 +115,11 @@ PostProcessor = Callable[[DataFrame], DataFrame]
 
 
 def enrich(results: DataFrame, processors: dict[str, PostProcessor]) -> tuple[DataFrame, dict[str, str]]:
-    """Runs each post-processor on the results; one that fails to plan is left out and its error returned."""
+    """Runs each post-processor on the results and writes what it gives; one that fails, in planning or on any row, is left out and its error returned."""
     failures: dict[str, str] = {}
     for name, processor in processors.items():
         try:
-            changed = processor(results)
-            changed.schema  # noqa: B018 - analysis happens here
-            results = changed
+            results = materialise(processor(results), "enriched")
         except Exception as error:  # noqa: BLE001 - a plugin may raise anything
             failures[name] = f"{type(error).__name__}: {error}"
     return results, failures

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kenmark.functions.tlsh import digest_udf
+from kenmark.operators.scoring import canonical_fingerprint
+
 #: A device with more snapshots is cut by time into blocks, up to so many and one.
 ROWS_PER_BLOCK, CUTS = 2000, 63
 
@@ -61,6 +64,13 @@ def neighbours(snapshots: DataFrame, rows: int = ROWS_PER_BLOCK) -> DataFrame:
     )
 
 
+def with_hashes(snapshots: DataFrame, digest: str = "signals_hash") -> DataFrame:
+    """The content hash as stored, else the digest of the fingerprint; null where there's too little for one."""
+    known = snapshots.where(F.col(digest).isNotNull())
+    made = snapshots.where(F.col(digest).isNull()).withColumn(digest, digest_udf(canonical_fingerprint(F.col("fingerprint"))))
+    return known.unionByName(made)
+
+
 def first_by_hash(snapshots: DataFrame, digest: str = "signals_hash") -> DataFrame:
     """One row per content hash, the earliest by (ts, snapshot_id); rows without a hash all stay."""
     ordered = Window.partitionBy(digest).orderBy("ts", "snapshot_id")

@@ -4,6 +4,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
+from kenmark.functions.minhash import tokens
 from kenmark.functions.registry import ScoringOptions
 from kenmark.operators.bands import BandIndex
 from kenmark.operators.blocking import BROADCAST_QUERIES, any_key, block
@@ -117,10 +118,58 @@ def test_manager_and_stream(spark, tables, tmp_path):
     assert streamed == {r.query_id: r.device_id for r in found}
 
 
+def test_restart_dedup_over_batches_and_graph(spark, tables, tmp_path):
+    rows = snapshots(spark, tables, 12).withColumn("signals_hash", F.when(F.col("signals_hash") > "8", F.col("signals_hash")))
+    manager = DeviceManager(open_store(spark, "parquet", path=str(tmp_path / "store")), IdentifyOptions(scoring=PLAIN))
+    out = str(tmp_path / "out")
+    first = {r.query_id: r for r in manager.identify_many(rows, out).collect()}
+    stored = manager.store.scan().count()
+    manager.save_again(rows, spark.read.parquet(out))
+    assert manager.store.scan().count() == stored
+    # The same contents a second later are hits of the earlier batch, until the cache is cleared.
+    soon = rows.withColumns({"snapshot_id": F.concat("snapshot_id", F.lit("+")), "ts": F.expr("ts + interval 1 second")})
+    hashed = {r.snapshot_id for r in manager.store.scan().where("signals_hash is not null").collect()}
+    newest = max(r.ts for r in rows.collect())
+    late = {r.snapshot_id for r in rows.collect() if (newest - r.ts).total_seconds() < 5} & hashed
+    again = {r.query_id: r for r in manager.identify_many(soon).collect()}
+    assert late and all(again[f"{i}+"].cache_hit and again[f"{i}+"].device_id == first[i].device_id for i in late)
+    manager.clear_dedup()
+    assert manager.recent is None
+    edges = manager.edges()
+    assert {x for r in edges.collect() for x in r.reasons} <= {"shared-ip-subnet", "font-overlap"}
+    some = edges.first()
+    if some:
+        near = manager.related(some.device_id_a).collect()
+        assert [r.place for r in near] == list(range(1, len(near) + 1)) and near[0].weight == max(r.weight for r in near)
+    assert manager.drift_of(rows.drop("device_id").join(manager.store.scan().select("snapshot_id", "device_id"), "snapshot_id")).count() > 0
+
+
+def test_later_rows_see_earlier_ones_in_order(spark, tables):
+    one = snapshots(spark, tables, 1).withColumn("signals_hash", F.lit(None).cast("string"))
+    visits = one.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumns({"snapshot_id": F.concat("snapshot_id", F.lit("-"), F.col("i").cast("string")), "ts": F.expr("ts + make_interval(0, 0, 0, i)")}).drop("i")
+    options = IdentifyOptions(scoring=PLAIN)
+    together = DeviceManager(open_store(spark, "memory"), options).identify_many(visits).collect()
+    assert len({r.device_id for r in together}) == 3
+    manager = DeviceManager(open_store(spark, "memory"), options)
+    ordered = sorted(manager.identify_in_order(visits).collect(), key=lambda r: r.query_id)
+    assert [r.is_new_device for r in ordered] == [True, False, False] and len({r.device_id for r in ordered}) == 1
+    assert manager.store.scan().count() == 3 and manager.identify_in_order(visits.limit(0)).count() == 0
+
+
 def test_enrich_isolates_failures(spark):
     df = spark.range(2)
-    out, failures = enrich(df, {"bad": lambda d: 1 / 0, "good": lambda d: d.withColumn("x", F.lit(1))})
-    assert out.columns == ["id", "x"] and "ZeroDivisionError" in failures["bad"]
+    late = F.udf(lambda i: 1 // i, "int")
+    out, failures = enrich(df, {"bad": lambda d: 1 / 0, "late": lambda d: d.withColumn("y", late("id")), "good": lambda d: d.withColumn("x", F.lit(1))})
+    assert out.columns == ["id", "x"] and "ZeroDivisionError" in failures["bad"] and set(failures) == {"bad", "late"}
+
+
+def test_bands_find_similar_sets(spark, tables):
+    rows = snapshots(spark, tables, 400).where("size(fingerprint.fonts) > 0")
+    sets = {r.snapshot_id: set(r.t) for r in rows.select("snapshot_id", tokens(F.col("fingerprint")).alias("t")).collect()}
+    alike = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    index = BandIndex.build(rows, "snapshot_id", "fingerprint")
+    found = {(r.query_id, r.id) for r in index.query(rows, "snapshot_id", "fingerprint").collect()}
+    assert len(alike) > 50 and len(alike & found) >= 0.9 * len(alike)
 
 
 def test_band_index(spark, tables):

@@ -25,6 +25,8 @@ RARE = 40
 LONG = 400
 #: A key that more sets hold is split into parts of about so many.
 SETS_PER_PART = 20_000
+#: Share of the sets whose keys are counted to find such keys; it decides on routes only.
+COUNTED = 1 / 16
 
 
 def _ceil(x: Column) -> Column:
@@ -55,10 +57,8 @@ def _keys(tokens: Column, n: Column, length: Column, first_frequent: int, thresh
     return F.concat(singles, F.flatten(pairs))
 
 
-def _split_keys(index: DataFrame, probe: DataFrame, sets_per_part: int) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Both sides with the columns to join on: an index row of a key of very many sets lies in one part, a probing row goes to all."""
-    row = index.select(F.xxhash64("k1", "k2").alias("_h")).agg(F.expr(f"approx_top_k(_h, {MOST_HEAVY}, {SKETCH_ITEMS})").alias("top")).first()
-    hot = [(x["item"], min(4096, -(-x["count"] // sets_per_part))) for x in row["top"] or [] if x["count"] > sets_per_part]
+def _split_keys(index: DataFrame, probe: DataFrame, hot: list[tuple[int, int]]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with the columns to join on: an index row of a hot key lies in one part, a probing row goes to all."""
     if not hot:
         return index, probe, ["k1", "k2"]
     table = F.broadcast(index.sparkSession.createDataFrame(hot, "_h long, _parts int"))
@@ -68,7 +68,14 @@ def _split_keys(index: DataFrame, probe: DataFrame, sets_per_part: int) -> tuple
     return held.drop("_parts"), asked.drop("_parts"), ["k1", "k2", "part"]
 
 
-def similar_classes(classes: DataFrame, threshold: float, rare: int = RARE, most: int = LONG, sets_per_part: int = SETS_PER_PART) -> DataFrame:
+def _hot_keys(index: DataFrame, share: float, sets_per_part: int) -> list[tuple[int, int]]:
+    """(hash, parts) of keys that very many sets hold, from the index rows of a share of the sets; at most ``MOST_HEAVY``."""
+    row = index.select(F.xxhash64("k1", "k2").alias("_h")).agg(F.expr(f"approx_top_k(_h, {MOST_HEAVY}, {SKETCH_ITEMS})").alias("top")).first()
+    counts = [(x["item"], int(x["count"] / share)) for x in row["top"] or []]
+    return [(h, min(4096, -(-n // sets_per_part))) for h, n in counts if n > sets_per_part]
+
+
+def similar_classes(classes: DataFrame, threshold: float, rare: int = RARE, most: int = LONG, sets_per_part: int = SETS_PER_PART, counted: float = COUNTED) -> DataFrame:
     """(class_a, class_b, overlap, size_a, size_b) of all pairs of distinct sets with similarity of at least ``threshold``.
 
     ``classes`` has one row (class, elements) per distinct set. Of a pair, class_a is that
@@ -84,8 +91,8 @@ def similar_classes(classes: DataFrame, threshold: float, rare: int = RARE, most
     """
     held = classes.select("class", F.explode("elements").alias("element"))
     # Numbers follow rarity: the sort gives increasing partitions, and so increasing numbers.
-    counted = held.groupBy("element").agg(F.count(F.lit(1)).alias("holders")).orderBy("holders", "element")
-    order = materialise(counted.select("element", "holders", F.monotonically_increasing_id().alias("token")), "order")
+    ranked = held.groupBy("element").agg(F.count(F.lit(1)).alias("holders")).orderBy("holders", "element")
+    order = materialise(ranked.select("element", "holders", F.monotonically_increasing_id().alias("token")), "order")
     first_frequent = order.where(F.col("holders") > rare).agg(F.min("token")).first()[0]
     first_frequent = 2**62 if first_frequent is None else first_frequent
     numbered = join_on_hot_keys(held, order.select("element", "token"), ["element"])
@@ -95,15 +102,17 @@ def similar_classes(classes: DataFrame, threshold: float, rare: int = RARE, most
     probe = F.col("n") - _ceil(F.lit(threshold) * F.col("n")) + 1
     index = F.col("n") - _ceil(F.lit(2 * threshold / (1 + threshold)) * F.col("n")) + 1
 
-    def keyed(length: Column, side: str) -> DataFrame:
+    def keyed(length: Column, side: str, share: float = 1.0) -> DataFrame:
         keys = _keys(F.col("tokens"), F.col("n"), length, first_frequent, threshold, most)
-        rows = sets.select(F.explode(keys).alias("k"), F.col("set").alias(f"set_{side}"), F.col("n").alias(f"n_{side}"), F.col("class").alias(f"c_{side}"))
+        chosen = sets if share >= 1 else sets.where(F.pmod(F.xxhash64("class"), F.lit(2**20)) < int(share * 2**20))
+        rows = chosen.select(F.explode(keys).alias("k"), F.col("set").alias(f"set_{side}"), F.col("n").alias(f"n_{side}"), F.col("class").alias(f"c_{side}"))
         return rows.select("k.k1", "k.k2", F.col("k.rest").alias(f"rest_{side}"), f"set_{side}", f"n_{side}", f"c_{side}")
 
     shorter = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("c_a") < F.col("c_b")))
     long_enough = F.col("n_a") >= F.lit(threshold) * F.col("n_b") - _SLACK
     enough_left = F.least("rest_a", "rest_b") >= F.lit(threshold / (1 + threshold)) * (F.col("n_a") + F.col("n_b")) - _SLACK
-    held, asked, on = _split_keys(keyed(index, "a"), keyed(probe, "b"), sets_per_part)
+    hot = _hot_keys(keyed(index, "a", counted), counted, sets_per_part)
+    held, asked, on = _split_keys(keyed(index, "a"), keyed(probe, "b"), hot)
     met = held.join(asked, on).where(shorter & long_enough & enough_left).select("set_a", "set_b").distinct()
     side = lambda s: sets.select(F.col("set").alias(f"set_{s}"), F.col("class").alias(f"class_{s}"), F.col("tokens").alias(f"tokens_{s}"), F.col("n").alias(f"size_{s}"))
     needed = _ceil(F.lit(threshold / (1 + threshold)) * (F.col("size_a") + F.col("size_b")))

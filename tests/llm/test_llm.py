@@ -91,7 +91,7 @@ def test_similar_classes_at_other_thresholds(spark, threshold, rare, most, per_p
     rng = random.Random(11)
     sets = {tuple(sorted(rng.sample(range(12), rng.randrange(1, 6)))) for _ in range(80)}
     rows = [(f"c{i}", [str(x) for x in s]) for i, s in enumerate(sorted(sets))]
-    got = {tuple(sorted((r.class_a, r.class_b))): r.overlap for r in similar_classes(spark.createDataFrame(rows, "class string, elements array<string>"), threshold, rare, most, per_part).collect()}
+    got = {tuple(sorted((r.class_a, r.class_b))): r.overlap for r in similar_classes(spark.createDataFrame(rows, "class string, elements array<string>"), threshold, rare, most, per_part, 1.0).collect()}
     held = {c: set(e) for c, e in rows}
     expected = {(a, b): len(held[a] & held[b]) for a in held for b in held if a < b and len(held[a] & held[b]) >= threshold * len(held[a] | held[b]) - 1e-9}
     assert got == expected

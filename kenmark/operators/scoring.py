@@ -149,9 +149,14 @@ def score_pairs(df: DataFrame, left: str, right: str, options: ScoringOptions |
     scaled = lambda path: F.lit(options.weight(path)) * (F.coalesce(options.field_stabilities[path], F.lit(1.0)) if options.field_stabilities is not None and path in WEIGHTS else F.lit(1.0))
 
     similar = [f"_s{i}" for i in range(len(FIELDS))]
-    df = df.withColumns({s: F.when(both[f], field_similarity(l[f], r[f], f, options)) for s, f in zip(similar, FIELDS)})
+    # Compared scalars count as fields and as leaves, so each is compared once.
+    once = {f: f"_x{i}" for i, f in enumerate(FIELDS) if options.comparator(f) and not isinstance(FINGERPRINT[f].dataType, (T.StructType, T.ArrayType)) and options.max_depth >= 1}
+    known = {f: l[f].isNotNull() & r[f].isNotNull() for f in once}
+    df = df.withColumns({x: F.when(known[f], unit(options.comparator(f)(l[f], r[f], f))) for f, x in once.items()}) if once else df
+    df = df.withColumns({s: F.when(both[f], F.coalesce(once[f], F.lit(0.0)) if f in once else field_similarity(l[f], r[f], f, options)) for s, f in zip(similar, FIELDS)})
     of = dict(zip(FIELDS, similar))
-    structural = _ratio([x for f in FIELDS for x in _leaves(l[f], r[f], FINGERPRINT[f].dataType, f, 1, options, scaled)], F.lit(0.0))
+    leaf = lambda f: [(F.when(known[f], scaled(f)).otherwise(0.0), F.when(known[f], scaled(f) * F.col(once[f])).otherwise(0.0))]
+    structural = _ratio([x for f in FIELDS for x in (leaf(f) if f in once else _leaves(l[f], r[f], FINGERPRINT[f].dataType, f, 1, options, scaled))], F.lit(0.0))
     df = df.withColumn("_structural", structural)
     if use_tlsh:
         df = df.withColumn("_distance", distance_udf(f"{prefixes[0]}_digest", f"{prefixes[1]}_digest"))

@@ -193,6 +193,13 @@ def score_pairs(df: DataFrame, left: str, right: str, options: ScoringOptions |
     return df.select(*kept, *SCORES)
 
 
+def dimension(df: DataFrame, left: str, right: str, name: str, options: ScoringOptions | None = None) -> DataFrame:
+    """Adds one of the nine scores alone, as ``value``; what only the others need isn't computed."""
+    if name not in SCORES:
+        raise ValueError(f"no score {name}; one of {', '.join(SCORES)}")
+    return score_pairs(df, left, right, options).select(*df.columns, F.col(name).alias("value"))
+
+
 def composite(same: Column, decay_factor: Column, adaptive: dict[str, Column]) -> Column:
     """The calibrated score from the eight dimensions (columns of those names)."""
     part = {d: F.col(d) / 100 for d in ("deviceSimilarity", "evidenceRichness", "fieldAgreement", "structuralStability", "entropyContribution", "attractorRisk", "missingOneSide", "missingBothSides")}

@@ -64,6 +64,21 @@ def neighbours(snapshots: DataFrame, rows: int = ROWS_PER_BLOCK) -> DataFrame:
     )
 
 
+def as_of(queries: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """(query_id, device_id, query_ts, snapshot_id, ts): the newest snapshot of the query's device before its time, null if there's none.
+
+    ``queries`` has query_id, device_id and query_ts. Of snapshots of one time the smallest
+    id counts, as in ``history``. Queries without device or time get nulls. One sort per
+    device carries the latest snapshot along, so nothing is multiplied.
+    """
+    seen = snapshots.where("device_id is not null and ts is not null").select("device_id", F.col("ts").alias("_at"), F.lit(1).alias("_kind"), F.struct("snapshot_id", "ts").alias("_s"), F.lit(None).cast("string").alias("query_id"))
+    asked = queries.select("device_id", F.col("query_ts").alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast(seen.schema["_s"].dataType).alias("_s"), "query_id")
+    before = Window.partitionBy("device_id").orderBy("_at", "_kind", F.desc("_s.snapshot_id")).rowsBetween(Window.unboundedPreceding, 0)
+    carried = asked.unionByName(seen).withColumn("_last", F.last("_s", ignorenulls=True).over(before)).where("_kind = 0")
+    known = F.col("device_id").isNotNull() & F.col("_at").isNotNull()
+    return carried.select("query_id", "device_id", F.col("_at").alias("query_ts"), F.when(known, F.col("_last.snapshot_id")).alias("snapshot_id"), F.when(known, F.col("_last.ts")).alias("ts"))
+
+
 def with_hashes(snapshots: DataFrame, digest: str = "signals_hash") -> DataFrame:
     """The content hash as stored, else the digest of the fingerprint; null where there's too little for one."""
     known = snapshots.where(F.col(digest).isNotNull())

@@ -53,6 +53,7 @@ TIMES = {
     **dict.fromkeys(["candidates_none", "candidates_any_key", "candidates_all_keys", "candidate_topk"], ["last_seen"]),
     **dict.fromkeys(["subnet_edges", "edges_folded"], ["first_seen", "last_seen"]),
     "device_user_link": ["linked_at"],
+    "as_of_latest": ["query_ts", "ts"],
     "edge_prune": ["last_seen"],
 }
 
@@ -268,6 +269,17 @@ def latest_per_device(spark: SparkSession, folder: str) -> DataFrame:
     return stores.latest(table(spark, folder, "snapshots")).select("device_id", "snapshot_id", "ts")
 
 
+@query(
+    "as_of_latest",
+    f"WITH {_ONCE}, seen AS (SELECT DISTINCT device_id, ts, snapshot_id FROM snapshots WHERE ts IS NOT NULL) SELECT a.snapshot_id AS query_id, any_value(a.device_id) AS device_id, any_value(a.ts) AS query_ts, "
+    "arg_max(h.snapshot_id, struct_pack(t := epoch_us(h.ts), i := -h.k)) AS snapshot_id, max(h.ts) AS ts "
+    "FROM arrived a LEFT JOIN (SELECT *, row_number() OVER (ORDER BY snapshot_id) AS k FROM seen) h ON h.device_id = a.device_id AND h.ts < a.ts GROUP BY a.snapshot_id",
+)
+def as_of_latest(spark: SparkSession, folder: str) -> DataFrame:
+    asked = once(table(spark, folder, "incoming")).select(F.col("snapshot_id").alias("query_id"), "device_id", F.col("ts").alias("query_ts"))
+    return stores.as_of(asked, table(spark, folder, "snapshots"))
+
+
 @query(
     "dedup_by_hash",
     "SELECT signals_hash, min(struct_pack(ts := ts, snapshot_id := snapshot_id)).snapshot_id AS snapshot_id FROM snapshots WHERE signals_hash IS NOT NULL GROUP BY ALL "

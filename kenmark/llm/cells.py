@@ -289,5 +289,7 @@ def known_rows(history: DataFrame | CellIndex, batches: DataFrame, batch: str, h
 
 def known_snapshots(snapshots: DataFrame, incoming: DataFrame, limit: int = 3) -> DataFrame:
     """(batch_no, snapshot_id) of the rows of ``incoming`` that are already known."""
-    found, _ = known_rows(snapshots, incoming, "batch_no", "signals_hash", field_hashes(incoming), ["snapshot_id"], limit)
+    found, index = known_rows(snapshots, incoming, "batch_no", "signals_hash", field_hashes(incoming), ["snapshot_id"], limit)
+    # What was found is written by now and doesn't read the index.
+    index.close()
     return found.distinct()

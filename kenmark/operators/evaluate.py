@@ -40,6 +40,17 @@ def best_threshold(sweep: DataFrame) -> DataFrame:
     return sweep.agg(row.alias("x")).select("x.threshold", "x.f1", "x.precision", "x.recall")
 
 
+# Fixed value: gap of far and frr that a calibrated score keeps at its best threshold.
+MOST_GAP = 0.08
+
+
+def within_gate(sweep: DataFrame, most_gap: float = MOST_GAP) -> bool:
+    """Whether false accepts and false rejects are about in balance at the best threshold; False without pairs."""
+    best = best_threshold(sweep).select("threshold")
+    row = sweep.join(F.broadcast(best), "threshold").select("eer", "recall").first()
+    return row is not None and row["recall"] > 0 and row["eer"] <= most_gap
+
+
 def summary(pairs: DataFrame, by: str, value: Column) -> DataFrame:
     """Count, mean, least and most of a score per scenario, the lowest mean first."""
     return pairs.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("avg_score"), F.min(value).alias("min_score"), F.max(value).alias("max_score")).orderBy("avg_score", by)

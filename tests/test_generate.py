@@ -2,7 +2,7 @@ import random
 
 from kenmark.functions.generate import SCENARIOS, base, common, dataset, mutate, scenario_pairs, score_table
 from kenmark.functions.registry import ScoringOptions
-from kenmark.operators.evaluate import best_threshold, threshold_sweep
+from kenmark.operators.evaluate import best_threshold, threshold_sweep, within_gate
 from kenmark.operators.scoring import score_pairs
 
 
@@ -18,7 +18,8 @@ def test_scenarios_separate(spark):
     rows = scored.collect()
     assert len(rows) == 6 * 19
     best = best_threshold(threshold_sweep(scored)).first()
-    assert best.f1 > 0.9
+    assert best.f1 > 0.9 and within_gate(threshold_sweep(scored)) and not within_gate(threshold_sweep(scored), -1)
+    assert not within_gate(threshold_sweep(scored.limit(0)))
     assert "vpn-activation" in score_table(scored)
 
 

@@ -5,7 +5,7 @@ import pytest
 from kenmark.plans.queries import queries
 
 
-@pytest.mark.parametrize("name", ["best_match", "candidate_topk", "candidates_any_key"])
+@pytest.mark.parametrize("name", ["best_match", "candidate_topk", "candidates_any_key", "candidates_none"])
 def test_queries_of_any_id_are_answered(spark, tables, tmp_path, name):
     incoming = spark.read.parquet(f"{tables}/incoming.parquet")
     odd = incoming.where("conv(right(snapshot_id, 6), 16, 10) % 50 <> 0")
